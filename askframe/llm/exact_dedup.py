@@ -35,10 +35,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     summary = rows.agg(F.expr(f"approx_top_k(digest, {heavy}, {tracked})").alias("top"))
     often = summary.select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("digest"))
     winners = rows.join(F.broadcast(often), "digest", "left_semi").groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
-    marked = rows.join(F.broadcast(cut(winners)), "digest", "left")
-    of_large = marked.where(F.col("size").isNotNull()).select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), "digest")
+    winners = cut(winners)  # partial summaries merge in any order, so the candidates are settled here, once
+    of_large = rows.join(F.broadcast(winners), "digest").select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), "digest")
     group = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(often), "digest", "left_anti").withColumns({"first": F.min(order).over(group), "size": F.count(F.lit(1)).over(group)})
+    rest = rows.join(F.broadcast(winners), "digest", "left_anti").withColumns({"first": F.min(order).over(group), "size": F.count(F.lit(1)).over(group)})
     of_rest = rest.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), "digest")
     both = of_large.unionByName(of_rest)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
