@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, token_files
+from . import bpe, exact_dedup, ngram_join, packing, token_files
 from .common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), payload="crc32")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -31,5 +35,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_bpe, op9_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op6_packing, op7_bpe, op9_token_files, op10_exact_dedup)}
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
