@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, packing, token_files
+from . import bpe, exact_dedup, langid, lm, ngram_join, packing, token_files
 from .common import table
 
 
@@ -14,6 +14,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -35,5 +43,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op6_packing, op7_bpe, op9_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_lm_scoring, op4_ngram_join, op6_packing, op7_bpe, op9_token_files, op10_exact_dedup)}
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
