@@ -38,16 +38,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     lanes = -(-n // LANE)
     ends = np.minimum(np.arange(1, lanes + 1) * LANE, n)
-    end = np.repeat(ends, LANE)[:n]
-    where = np.arange(n)
-    selector = np.full(n, ESCAPE, np.int8)
     top = int(ids.max())
+    small = ids.astype(np.uint32) if top >> 32 == 0 else ids  # half the memory to move, mostly
+    end = np.repeat(ends.astype(np.int32), LANE)[:n]
+    where = np.arange(n, dtype=np.int32)
+    room = end - where
+    selector = np.full(n, ESCAPE, np.int8)
     for s in range(ESCAPE - 1, -1, -1):  # from few ids to many: the last that fits stays
-        stop = end
+        free = room
         if top >> int(BITS[s]):
-            wide = np.where(ids >> np.uint64(BITS[s]) != 0, where, n)
-            stop = np.minimum(np.minimum.accumulate(wide[::-1])[::-1], end)
-        selector[stop - where >= COUNTS[s]] = s
+            wide = np.where(small < small.dtype.type(1 << int(BITS[s])), np.int32(n), where)
+            free = np.minimum(np.minimum.accumulate(wide[::-1])[::-1] - where, room)
+        np.putmask(selector, free >= COUNTS[s], s)
     at, live = np.arange(lanes) * LANE, np.arange(lanes)
     lane, used, word = [], [], []
     escapes = ids[ids >> np.uint64(60) != 0]
@@ -126,7 +128,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], NAMES)
 
-    encode_with(dealt.select(F.struct("shard", "k").alias("key"), "text"), lexicon, tokenizer_path, emit, SCHEMA).write.option("compression", "zstd").parquet(path)
+    encode_with(dealt.select(F.struct("shard", "k").alias("key"), "text"), lexicon, tokenizer_path, emit, SCHEMA).write.option("compression", "snappy").parquet(path)
 
 
 def _search(bounds: list[int], a: int, b: int) -> str:
