@@ -26,6 +26,7 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 14
 LANE = 256
+_CLASS = np.array([int(np.searchsorted(BITS[:ESCAPE], max(1, x.bit_length()))) for x in range(1 << 16)], np.int8)
 SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, lengths binary, words binary, lanes binary, escapes binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -38,43 +39,42 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     lanes = -(-n // LANE)
     ends = np.minimum(np.arange(1, lanes + 1) * LANE, n)
-    top = int(ids.max())
-    small = ids.astype(np.uint32) if top >> 32 == 0 else ids  # half the memory to move, mostly
-    end = np.repeat(ends.astype(np.int32), LANE)[:n]
-    where = np.arange(n, dtype=np.int32)
-    room = end - where
-    selector = np.full(n, ESCAPE, np.int8)
-    for s in range(ESCAPE - 1, -1, -1):  # from few ids to many: the last that fits stays
-        free = room
-        if top >> int(BITS[s]):
-            wide = np.where(small < small.dtype.type(1 << int(BITS[s])), np.int32(n), where)
-            free = np.minimum(np.minimum.accumulate(wide[::-1])[::-1] - where, room)
-        np.putmask(selector, free >= COUNTS[s], s)
-    at, live = np.arange(lanes) * LANE, np.arange(lanes)
-    lane, used, word = [], [], []
-    escapes = ids[ids >> np.uint64(60) != 0]
-    number = np.cumsum(ids >> np.uint64(60) != 0) - 1 if len(escapes) else None
+    if int(ids.max()) < len(_CLASS):
+        kind = _CLASS[ids]
+    else:
+        kind = np.zeros(n, np.int8)
+        for b in BITS[:ESCAPE]:
+            kind += ids >> np.uint64(b) != 0
+    room = np.minimum(np.repeat(ends, LANE)[:n] - np.arange(n), 100).astype(np.int8)
+    # the largest kind among the next c ids, for each c, from two shorter stretches that make c together
+    most, selector = {1: kind}, np.full(n, ESCAPE, np.int8)
+    for s in range(ESCAPE - 1, -1, -1):
+        c = int(COUNTS[s])
+        if c not in most:
+            x, y = next((x, c - x) for x in sorted(most, reverse=True) if c - x in most)
+            most[c] = most[x].copy()
+            np.maximum(most[x][: n - x], most[y][x:], out=most[c][: n - x]) if n > x else None
+        np.putmask(selector, (most[c] <= s) & (room >= c), s)  # from few ids to many: the last that fits stays
+    at, live, used = np.arange(lanes) * LANE, np.arange(lanes), []
     while len(live):
-        own = selector[at[live]].astype(np.int64)
-        made = own.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(own):
-            k = np.flatnonzero(own == s)
-            first = at[live[k]]
-            if s == ESCAPE:
-                made[k] |= number[first].astype(np.uint64)
-                continue
-            body = np.zeros(len(k), np.uint64)
-            for j in range(COUNTS[s]):
-                body |= ids[first + j] << np.uint64(j * BITS[s])
-            made[k] |= body
-        lane.append(live)
-        used.append(at[live])
-        word.append(made)
-        at[live] += COUNTS[own]
-        live = live[at[live] < ends[live]]
-    lane_, used_, word_ = np.concatenate(lane), np.concatenate(used), np.concatenate(word)
-    order = np.argsort(used_, kind="stable")
-    return word_[order], np.searchsorted(lane_[order], np.arange(lanes)).astype(np.uint32), escapes
+        now = at[live]
+        used.append(now)
+        now = now + COUNTS[selector[now]]
+        at[live] = now
+        live = live[now < ends[live]]
+    place = np.sort(np.concatenate(used))
+    own = selector[place]
+    word = own.astype(np.uint64) << np.uint64(60)
+    large = ids >> np.uint64(60) != 0
+    for s in np.unique(own):
+        k = np.flatnonzero(own == s)
+        first = place[k]
+        if s == ESCAPE:
+            word[k] |= (np.cumsum(large) - 1)[first].astype(np.uint64)
+            continue
+        for j in range(COUNTS[s]):
+            word[k] |= ids[first + j] << np.uint64(j * BITS[s])
+    return word, np.searchsorted(place, np.arange(lanes) * LANE).astype(np.uint32), ids[large]
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
