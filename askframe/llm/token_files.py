@@ -72,8 +72,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if s == ESCAPE:
             word[k] |= (np.cumsum(large) - 1)[first].astype(np.uint64)
             continue
-        for j in range(COUNTS[s]):
-            word[k] |= ids[first + j] << np.uint64(j * BITS[s])
+        body = ids[first]
+        for j in range(1, COUNTS[s]):
+            body |= ids[first + j] << np.uint64(j * BITS[s])
+        word[k] |= body
     return word, np.searchsorted(place, np.arange(lanes) * LANE).astype(np.uint32), ids[large]
 
 
