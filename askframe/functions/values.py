@@ -82,8 +82,8 @@ class Value:
         if self.kind != "json":
             return F.when(self.column.isNull(), "null").otherwise(self.kind) if self.kind != "null" else F.lit("null")
         shape = F.schema_of_variant(self.column)
-        kind = F.when(shape.startswith("ARRAY"), "arr").when(shape.startswith("OBJECT"), "obj").when(shape == "STRING", "str").when(shape == "BOOLEAN", "bool").when(shape == "VOID", "null").otherwise("num")
-        return F.coalesce(kind, F.lit("null"))
+        kind = F.when(shape.isNull(), "null").when(shape.startswith("ARRAY"), "arr").when(shape.startswith("OBJECT"), "obj").when(shape == "STRING", "str").when(shape == "BOOLEAN", "bool").when(shape == "VOID", "null").otherwise("num")
+        return kind
 
     @property
     def missing(self) -> Column:
