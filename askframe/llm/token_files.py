@@ -110,7 +110,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
     bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", [k / shards for k in range(1, shards)], 10000)).first()[0] if shards > 1 else []
     bounds = sorted(set(bounds or []))
     text = docs[text_col].cast("string")
-    rows = docs.select(key.alias("k"), text.alias("text")).withColumn("shard", F.expr(f"int(coalesce({_search(bounds, 0, len(bounds))}, 0))"))
+    rows = docs.select(key.alias("k"), text.alias("text")).withColumn("shard", F.expr(f"int(if(k is null, 0, {_search(bounds, 0, len(bounds))}))"))
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("k").asc_nulls_first(), F.xxhash64("text"))
 
     def emit(encoder, keys, e):
