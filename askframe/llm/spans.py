@@ -29,12 +29,14 @@ def find(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str] | None
 
     def hits(kind: str, pattern: str) -> Column:
         gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        n = F.size(gaps)
+        zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, n - 1).alias("left"), F.slice(gaps, 2, n - 1).alias("right"))
 
-        def one(value: Column, k: Column) -> Column:
-            before, after = F.concat(F.lit("\n"), F.get(gaps, k)), F.concat(F.get(gaps, k + 1), F.lit("\n"))
-            return F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.char_length(F.get(gaps, k)).alias("gap"), value.alias("value"), F.substring(before, -REACH - 1, REACH + 1).alias("before"), F.substring(after, 1, REACH + 1).alias("after"))
+        def one(m: Column, k: Column) -> Column:  # reads the zipped parts alone, so that the text is searched once, not once a match
+            before, after = F.concat(F.lit("\n"), m["left"]), F.concat(m["right"], F.lit("\n"))
+            return F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.char_length(m["left"]).alias("gap"), m["value"].alias("value"), F.substring(before, -REACH - 1, REACH + 1).alias("before"), F.substring(after, 1, REACH + 1).alias("after"))
 
-        out = F.transform(found, one)
+        out = F.transform(zipped, one)
         return F.when(F.col("text").contains(needs[kind]), out) if kind in needs else out
 
     parts = [rows.select("key", F.explode(hits(kind, pattern)).alias("m")).select("key", "m.*") for kind, pattern in patterns.items()]
