@@ -51,14 +51,14 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def centres(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """k-means (Lloyd) from k of the points; an empty list keeps its centre."""
+    """k-means (Lloyd) from k of the points; empty lists go, and equal centres are one, so that rounding can't part equal vectors."""
     c = points[np.random.default_rng(3).permutation(len(points))[:k]].copy()
     for _ in range(rounds):
         own = nearest(points, c, 1)[:, 0]
         sums, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
         np.add.at(sums, own, points)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
-    return c
+        c = (sums[n > 0] / n[n > 0, None]).astype(np.float32)
+    return np.unique(c, axis=0)
 
 
 def nearest(points: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
