@@ -10,6 +10,7 @@ exactly, lowest rank first.
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
 import json
 import os
@@ -38,6 +39,7 @@ _CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 _BLANKS = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
 
 
+@functools.cache
 def _class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.full(0x110000, OTHER, np.uint8)
@@ -45,6 +47,7 @@ def _class_table() -> np.ndarray:
         c = unicodedata.category(chr(cp))
         out[cp] = UNKNOWN if c == "Cn" else kinds.get(c[0], OTHER)
     out[[ord(c) for c in _BLANKS]] = SPACE
+    out.setflags(write=False)
     return out
 
 
@@ -168,6 +171,13 @@ class Merges:
         return [x[:k] for x, k in zip(done.tolist(), (done >= 0).sum(1).tolist(), strict=True)]
 
 
+@functools.cache
+def tables(path: str) -> tuple[Vocabulary, Merges]:
+    """What a tokenizer file says, read once a worker process instead of once a task."""
+    vocabulary = Vocabulary(path)
+    return vocabulary, Merges(vocabulary)
+
+
 @dataclass
 class Words:
     """Words of some texts: their bytes in data from start to end, each one's row, and the special tokens' ids (else -1)."""
@@ -414,9 +424,8 @@ class Encoded:
 
 class Encoder:
     def __init__(self, tokenizer_path: str, lexicon_path: str):
-        self.vocabulary = Vocabulary(tokenizer_path)
-        self.splitter, self.lexicon, self.memo = Splitter(self.vocabulary), Lexicon(lexicon_path), {}
-        self.merges, self.state = Merges(self.vocabulary), {}
+        self.vocabulary, self.merges = tables(tokenizer_path)
+        self.splitter, self.lexicon, self.memo, self.state = Splitter(self.vocabulary), Lexicon(lexicon_path), {}, {}
 
     def _unseen(self, words: list[bytes]) -> list[list[int]]:
         memo = self.memo
@@ -465,7 +474,7 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     """word (binary) and n, its occurrences in all texts; special tokens don't count."""
 
     def run(batches):
-        splitter = Splitter(Vocabulary(tokenizer_path))
+        splitter = Splitter(tables(tokenizer_path)[0])
         for batch in batches:
             lengths = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(np.concatenate([[0], np.cumsum(lengths)]), 8 << 20):
@@ -500,7 +509,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
     atexit.register(shutil.rmtree, folder, True)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon([bytes(w) for w in frequent], Vocabulary(tokenizer_path), f"{folder}/{name}")
+    compile_lexicon([bytes(w) for w in frequent], tables(tokenizer_path)[0], f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
@@ -541,7 +550,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, text: each id's token, joined by a space, as the library decodes with a file that names no decoder. Null ids: empty."""
 
     def run(batches):
-        tokens = Vocabulary(tokenizer_path).tokens
+        tokens = tables(tokenizer_path)[0].tokens
         for batch in batches:
             texts = [" ".join([tokens[k] for k in ids or ()]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
