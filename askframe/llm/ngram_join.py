@@ -118,7 +118,8 @@ def _sign(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         first = np.append(True, sig[1:] != sig[:-1])
         leader = of[np.flatnonzero(first)][np.cumsum(first) - 1]
         pairs = np.unique(np.stack([of[of != leader], leader[of != leader]], 1), axis=0)
-        yield table(1, sig[first].view(np.int64), of[first])
+        own = np.argsort(of[first], kind="stable")  # a class's rows side by side, which files and shuffles compress
+        yield table(1, sig[first][own].view(np.int64), of[first][own])
         if len(pairs):
             yield table(2, pairs[:, 0], pairs[:, 1])
 
