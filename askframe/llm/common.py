@@ -117,10 +117,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Like cut(), as a compressed Parquet table of the shared folder, for what is large."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,6 @@ the k-th rest of a length belongs to the k-th place that the plan has for the le
 from __future__ import annotations
 
 import json
-import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import cut, raw, slices
+from .common import cut, kept, raw, slices
 
 # Fixed value: how the byte-level vocabulary cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,9 +38,8 @@ def load_encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), set(special)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, payload: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's pieces: doc_id, start, length, doc_tokens and ids (little-endian uint32) or, for payload "crc32", ids_crc32."""
-    name = "ids" if payload == "ids" else "ids_crc32"
+def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's pieces: doc_id, start, length, doc_tokens and ids (little-endian uint32)."""
 
     def run(batches):
         encoding, special = load_encoding(tokenizer_path)
@@ -53,11 +51,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int =
                     ids = np.array([*encoding.encode(text or "", allowed_special=special), end_id], "<u4")
                     for at in range(0, len(ids), size):
                         part = ids[at : at + size].tobytes()
-                        for col, x in zip(cols, (doc_id, at, len(part) // 4, len(ids), part if payload == "ids" else zlib.crc32(part)), strict=True):
+                        for col, x in zip(cols, (doc_id, at, len(part) // 4, len(ids), part), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary() if payload == "ids" else pa.int64())], ["doc_id", "start", "length", "doc_tokens", name])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, {name} " + ("binary" if payload == "ids" else "long"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -131,10 +129,10 @@ def pack(parts: DataFrame, size: int = 1024) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, payload: str = "ids") -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (or ids_crc32), sequence_id and offset of every piece.
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids, sequence_id and offset of every piece.
 
     A null or empty text has the end id alone. Each row is packed, also rows that repeat an id or have none; their pieces
     then share doc_id and start. A text longer than a sequence is cut; an empty table gives no rows; other columns aren't read.
     """
-    return pack(cut(pieces(docs, tokenizer_path, size, end_id, payload)), size)
+    return pack(kept(pieces(docs, tokenizer_path, size, end_id), "zstd"), size)

@@ -40,8 +40,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 ids: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset."""
-    return packing.pack_documents(docs, tokenizer(), payload="crc32")
+    """Pieces of sequences of 1024 ids: doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset."""
+    return packing.pack_documents(docs, tokenizer())
 
 
 def tokenizer() -> str:

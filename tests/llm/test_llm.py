@@ -133,6 +133,21 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packed_corpus_keeps_its_ids(spark, docs):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    library, few = Tokenizer.from_file(p.tokenizer()), docs.limit(50)
+    parts: dict = {}
+    for r in p.packed(spark, few, SF).collect():
+        parts.setdefault(r["doc_id"], {})[r["start"]] = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+    got = {k: [x for s in sorted(own) for x in own[s]] for k, own in parts.items()}
+    assert got == {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids + [0] for r in few.collect()}
+    rows = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in contract.op6_packing(spark, SF).collect()}
+    assert all(rows[k, s] == zlib.crc32(np.array(ids, "<u4").tobytes()) for k, own in parts.items() for s, ids in own.items())
+
+
 def test_plan_places_every_length():
     r = random.Random(4)
     for _ in range(20):
