@@ -1,9 +1,10 @@
 """Personal data: patterns for what has a form, and corpus statistics for the words that give it away.
 
 Entities are the values that the patterns find. Over the whole corpus, how much a term tells of an entity is its pointwise
-mutual information with it as a share of the entity's own information: log2(p(e|t) / p(e)) / -log2 p(e), where p(e|t) is the
-share of the term's occurrences that stand next to a mention of the entity. A term that tells nearly all is removed, one
-that tells much is generalised, wherever it stands next to a mention. All of it is DataFrame functions.
+mutual information with it as a share of the entity's own information: log2(p(e|t) / p(e)) / -log2 p(e), where p(e) is the
+share of the texts that mention the entity and p(e|t) that of the texts with the term. A term that tells nearly all is
+removed, one that tells much is generalised, wherever it stands in a text that mentions the entity. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import find, keyed, listed, words_around
+from .spans import find, keyed, listed
 
 # The kinds in their order and their patterns. The possessive quantifiers and the looks behind give the same
 # leftmost matches as the plain patterns, in one pass over long runs.
@@ -22,6 +23,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
+WORD = r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})"
+#: Texts without the entity that are added to those with a term.
+PRIOR = 2
 KINDS = [*PATTERNS, "generalised", "removed"]
 
 
@@ -45,38 +49,47 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return find(rows, PATTERNS, NEEDS).where(_valid())
 
 
-def disclosing_terms(mentions: DataFrame, rows: DataFrame, least: int, generalise: float) -> DataFrame:
-    """entity, term, disclosure: terms near at least `least` mentions that tell generalise of the entity's information or more.
+def disclosing_terms(entities: DataFrame, texts: DataFrame, rows: DataFrame, generalise: float) -> DataFrame:
+    """key, term, disclosure: terms of a text that tell generalise of the information of an entity in it, or more.
 
-    mentions: entity, term for each word next to a mention. Each occurrence counts, also in copies, on both sides of the
-    ratio. The counts of terms are over all texts and meet after partial sums.
+    entities: key and entity, each once; texts: the rows that have one. All counts are of rows, also of copies. To the rows
+    with a term PRIOR are added that lack the entity, so that a single one proves little in a small corpus. As the share is
+    at most n_e / (n_t + PRIOR), a pair beyond that bound can't reach generalise and isn't counted; no other pair is left out.
     """
-    pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    letters = rows.select(F.explode(F.split("text", r"\P{L}+")).alias("w")).where(F.char_length("w").between(4, 40))
-    counts = letters.groupBy(F.lower("w").alias("term")).agg(F.count(F.lit(1)).alias("n_t"))
-    near = pairs.where(F.col("n_te") >= least).join(counts, "term").join(entities, "entity")
-    total = counts.agg(F.sum("n_t").alias("w"))
-    p_te = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
-    p_e = F.col("n_e") / F.col("w")
-    told = F.when(p_e < 1, F.log2(p_te / p_e) / -F.log2(p_e)).otherwise(0.0)
-    return near.crossJoin(F.broadcast(total)).select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    from .common import kept
+
+    def terms(of: DataFrame) -> DataFrame:
+        words = F.array_distinct(F.transform(F.filter(F.split("text", r"\P{L}+"), lambda w: F.char_length(w).between(4, 40)), F.lower))
+        return of.select("key", F.explode(words).alias("term"))
+
+    total = rows.count()
+    counts = terms(rows).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_e = entities.join(texts.select("key"), "key").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    weighed = entities.join(n_e, "entity").withColumn("most", F.pow("n_e", F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-9) - PRIOR)
+    most = weighed.agg(F.max("most")).first()[0]
+    rare = counts.where(F.col("n_t") <= F.lit(most))
+    pairs = kept(terms(texts).join(rare, "term").join(weighed, "key").where("n_t <= most").select("key", "entity", "term", "n_t", "n_e"))
+    share = F.count(F.lit(1)) / (F.first("n_t") + PRIOR)
+    p_e = F.first("n_e") / F.lit(total)
+    told = F.when(p_e < 1, F.log2(share / p_e) / -F.log2(p_e)).otherwise(0.0)
+    telling = pairs.groupBy("entity", "term").agg(told.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return pairs.join(telling, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def all_spans(rows: DataFrame, least: int = 3, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
-    """key, kind, start, end of the base spans and of the disclosing terms next to them, in keyed() rows.
+def all_spans(rows: DataFrame, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
+    """key, kind, start, end of the base spans and of the disclosing terms in the same text, in keyed() rows.
 
     A term that overlaps a base span is part of it and adds nothing.
     """
     from .common import kept
 
     base = kept(base_spans(rows))
-    entity = F.concat_ws(":", "kind", F.lower("value")).alias("entity")
-    around = F.concat(words_around("before", F.col("start")), words_around("after", F.col("end")))
-    near = base.select("key", entity, F.explode(around).alias("t")).select("key", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), (F.col("t.start") + F.char_length("t.value")).alias("end"))
-    terms = disclosing_terms(near, rows, least, generalise)
-    label = F.when(F.max("disclosure") >= remove, "removed").otherwise("generalised").alias("kind")
-    told = near.join(terms, ["entity", "term"]).groupBy("key", "start", "end").agg(label)
+    entities = base.select("key", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
+    texts = kept(rows.select("key", "text").join(entities.select("key").distinct(), "key", "left_semi"))
+    terms = kept(disclosing_terms(entities, texts, rows, generalise))
+    words = find(texts.join(terms.select("key").distinct(), "key", "left_semi"), {"word": WORD})
+    label = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised").alias("kind")
+    told = words.withColumn("term", F.lower("value")).join(terms, ["key", "term"]).select("key", "start", "end", label)
     both = base.select("key", "kind", "start", "end").unionByName(told.select("key", "kind", "start", "end"))
     is_base = F.col("kind").isin(list(PATTERNS))
     order = Window.partitionBy("key").orderBy("start")

@@ -53,22 +53,6 @@ def find(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str] | None
     return placed.select("key", "kind", (F.col("end") - F.char_length("value")).alias("start"), "end", "value", "before", "after")
 
 
-def words_around(side: str, start: Column) -> Column:
-    """Words of 4 to 40 letters, whole and of the same line, in before or after a match: structs of value and start."""
-    if side == "before":
-        text = F.regexp_replace("before", r"(?s)^.*\n", "\n")
-        pattern, first = r"(?<=\P{L})\p{L}{4,40}(?!\p{L})", start - F.char_length(text)
-    else:
-        text = F.regexp_replace("after", r"(?s)\n.*$", "\n")
-        pattern, first = r"(?<!\p{L})\p{L}{4,40}(?=\P{L})", start
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
-
-    return F.transform(found, lambda w, k: F.struct(w.alias("value"), (first + total(gaps, k + 1) + total(found, k)).alias("start")))
-
-
 def listed(spans: Column) -> Column:
     """kind:start:end of an array of structs (start, rank, kind, end), in that order, joined by commas."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
