@@ -1,4 +1,4 @@
-"""Secrets in texts: candidates by their form, false positives removed by a random forest.
+"""Secrets in texts: candidates by their form or by the word that introduces them, false positives removed by a random forest.
 
 The forest is trained (by Spark's own trees, in the JVM) on labelled findings. No table here labels findings, so the
 labelled set is generated from a seed: credentials of common forms next to the words that introduce them, and what is
@@ -11,17 +11,20 @@ from __future__ import annotations
 import random
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spans import find, keyed, listed
 
-# A candidate's form, and word lists of the features.
+# A candidate's form, what introduces one, and word lists of the features.
 CANDIDATE = r"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.@-]*+[0-9])[A-Za-z0-9_+/.@-]{16,}+={0,2}"
 INTRODUCES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signing"
 DENIES = "commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|rev|revision|version|build|id|isbn|card|tel|phone|file|path|url|see|from"
 DICTIONARY = "example|sample|test|demo|dummy|changeme|placeholder|your|user|admin|name|file|path|data|home|local|config|image|index|main|page|static|src|lib|bin|usr|var|www|http|https|html|json|yaml|com|org|net|mail|version|release|build|module|class|function|value|string|number|table|report|project|public|private|server|client|python|java|node"
-FEATURES = ["length", "digits", "uppers", "symbols", "changes", "distinct", "words", "slashes", "dots", "at", "hexadecimal", "prefix", "assigned", "quoted", "introduced", "denied"]
+#: What follows an introducing word and = or :, in quotes up to their end, else without closing marks; of 6 characters or more.
+ASSIGNED = rf"""(?i)(?:{INTRODUCES})["']?\s*+[:=]\s*+(?!["']?(?:{INTRODUCES})["']?\s*+[:=])(?:"[^"\s]{{6,}}|'[^'\s]{{6,}}|[^\s"']\S{{4,}}[^\s"',;.)\]}}>])"""
+VALUE = rf"""(?i)\A(?:{INTRODUCES})["']?\s*+[:=]\s*+["']?(\S+)\z"""
+FEATURES = ["length", "digits", "uppers", "symbols", "changes", "distinct", "words", "slashes", "dots", "at", "hexadecimal", "prefix", "assigned", "quoted", "closed", "introduced", "denied"]
 #: Labelled findings of each kind; the bound of the training set.
 LABELLED = 1500
 
@@ -41,7 +44,7 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "uppers": share("[A-Z]"),
         "symbols": share("[A-Za-z0-9]") * -1 + 1,
         "changes": F.char_length(shape) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64)),
         "words": 1 - F.char_length(F.regexp_replace(F.lower(value), f"(?:{DICTIONARY})", "")) / n,
         "slashes": share("/"),
         "dots": share(r"\."),
@@ -50,13 +53,15 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "prefix": value.rlike(r"\A(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|glpat-)").cast("double"),
         "assigned": before.rlike(r"[:=]\s*[\"']?\z").cast("double"),
         "quoted": before.rlike(r"[\"']\z").cast("double"),
+        "closed": after.rlike(r"\A[\"'\s]").cast("double"),
         "introduced": near.rlike(rf"(?:{INTRODUCES})[\"']?[\s:=]*[\"']?\z").cast("double"),
         "denied": near.rlike(rf"(?:\A|[^a-z])(?:{DENIES})[\s:=#(]*[\"']?\z").cast("double"),
     }
 
 
 def labelled(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """value, before, after, label of n findings that are secrets and n that aren't; the same rows each time."""
+    """value, before, after, label of n findings that are secrets and n that aren't, and half as many short ones of each after
+    an introducing word; the same rows each time."""
     r = random.Random(20)
     low, digit, hexa = string.ascii_lowercase, string.digits, "0123456789abcdef"
     full, upper = string.ascii_letters + digit, string.ascii_uppercase + digit
@@ -101,6 +106,11 @@ def labelled(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         else:
             value = made(low, 14, 24) + made(digit, 1, 2)
         rows.append((value, before, r.choice([" ", ".", "\n"]), 0.0))
+    words = ["required", "string", "optional", "missing", "invalid", "hidden", "expired", "nothing", "provided", "please", "forgotten", "Optional[str]", "undefined", "getToken()", "read_token()", "request.token", "os.environ", "process.env.TOKEN", "${SECRET}", "<password>", "********", "changeme", "your-password", "example"]
+    for _ in range(n // 2):
+        own = [made(low, 3, 8) + made(digit, 1, 4) + made(low, 0, 5) + made("!#$%&*@", 0, 2), made(full + "!#$%&*", 6, 24), made(string.ascii_letters, 8, 24), made(low, 10, 20)]
+        rows.append((r.choice(own), prose() + r.choice(names) + r.choice(joins), r.choice([" ", '"', "\n", ","]), 1.0))
+        rows.append((r.choice(words), prose() + r.choice([*names, "auth", "token", "password"]) + r.choice(joins), r.choice([" ", '"', "\n", ",", "."]), 0.0))
     return spark.createDataFrame(rows, "value string, before string, after string, label double")
 
 
@@ -134,6 +144,7 @@ def as_column(model) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, n_secrets, spans (secret:start:end in code points, joined by commas), top of every row.
 
+    Candidates are runs of the common form and whatever an introducing word assigns; a secret within another is part of it.
     top is the highest probability of a candidate, null without any. A null or empty text has no candidate. Rows that
     repeat an id and text get the same result each; a row without an id is searched like any other. Very long texts and runs
     take one pass. An empty table gives no rows; other columns are not read.
@@ -141,10 +152,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     from .common import kept
 
     rows = keyed(docs, id_col, text_col)
-    found = kept(find(rows, {"secret": CANDIDATE}))
+    both = find(rows, {"secret": CANDIDATE, "assigned": ASSIGNED})
+    assigned, value = F.col("kind") == "assigned", F.regexp_extract("value", VALUE, 1)
+    start, length = F.col("end") - F.char_length(value), F.char_length("value") - F.char_length(value)
+    before = F.concat("before", F.substring(F.col("value"), F.lit(1), length))
+    parts = F.struct(assigned.alias("a"), F.when(assigned, value).otherwise(F.col("value")).alias("value"), F.when(assigned, before).otherwise(F.col("before")).alias("before"), "after")
+    placed = both.select("key", F.lit("secret").alias("kind"), F.when(assigned, start).otherwise(F.col("start")).alias("start"), "end", parts.alias("m"))
+    found = kept(placed.groupBy("key", "kind", "start", "end").agg(F.max("m").alias("m")).select("key", "kind", "start", "end", "m.value", "m.before", "m.after"))
     own = found.select("key", "kind", "start", "end", *(c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after")).items()))
     scored = own.select("key", "kind", "start", "end", as_column(forest(docs.sparkSession)).alias("p"))
+    wider = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max(F.when(F.col("p") >= threshold, F.col("end"))).over(wider) >= F.col("end"), F.lit(False))
+    scored = scored.withColumn("secret", (F.col("p") >= threshold) & ~inside)
     one = F.struct(F.col("start"), F.lit(1).alias("rank"), F.col("kind"), F.col("end"))
-    lists = scored.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("top"), F.collect_list(F.when(F.col("p") >= threshold, one)).alias("all"))
+    lists = scored.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("top"), F.collect_list(F.when(F.col("secret"), one)).alias("all"))
     out = rows.select("key", "doc_id").join(lists, "key", "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_secrets"), F.coalesce(listed(F.col("all")), F.lit("")).alias("spans"), "top")

@@ -302,6 +302,16 @@ def test_secrets(spark, docs, odd, none):
     assert secret_scan.scan(odd).count() == len(ODD) and secret_scan.scan(none).count() == 0
 
 
+def test_introduced_secrets_of_any_form(spark):
+    texts = [(1, "login password=hunter2pass now"), (2, 'x secret: "p!a#s$s%w&o*rd9Q", y'), (3, "token=qXvbRtLkZpWmNs"), (4, "passwd =  \n Tr0ub4dor&3"), (5, "password: required"), (6, "no assignment of hunter2pass"), (7, "password: token: hunter2pass")]
+    rows = {x["doc_id"]: x for x in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(rows[k]["n_candidates"] == 1 for k in (1, 2, 3, 4, 5, 7)) and rows[6]["n_candidates"] == 0
+    assert [rows[k]["spans"] for k in (1, 2, 3, 4)] == ["secret:15:26", "secret:11:27", "secret:6:20", "secret:12:23"] and rows[7]["spans"] == "secret:17:28" and rows[5]["n_secrets"] == 0
+    nested = [(1, "token=aB3!dE5fG7hJ9kL2mN4pQ6")]
+    x = secret_scan.scan(spark.createDataFrame(nested, "doc_id long, text string")).first()
+    assert (x["n_candidates"], x["n_secrets"], x["spans"]) == (2, 1, "secret:6:28")
+
+
 def test_ann(spark, none):
     e = table(spark, SF, "embeddings").toPandas()
     x, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
