@@ -70,6 +70,15 @@ def test_bpe(spark, docs, odd, none):
     assert bpe.encode(none, words_file()).count() == 0
 
 
+def test_digests_of_decoded_texts(docs, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(words_file())
+    for frame in (docs.limit(100), odd):
+        want = {(r["doc_id"], hashlib.sha256(library.decode(library.encode(r["text"] or "", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()) for r in frame.collect()}
+        assert {(r["doc_id"], r["decoded_sha256"]) for r in bpe.digests(frame, words_file()).collect()} == want
+
+
 def test_bpe_random_texts(tmp_path):
     from tokenizers import Tokenizer
 
