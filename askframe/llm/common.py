@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +33,67 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first k bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans up to here are hashed eight bytes at a time, all together; longer ones one by one.
+_STEPPED = 1 << 10
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each; they are kept for later slices."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian integers; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    """A 64-bit key of each span of bytes. Spans of up to 7 bytes have a key of their own; longer ones are hashed."""
+    size, wide = ends - starts, _windows(data)
+    key = wide[starts] & _FIRST[np.minimum(size, 8)]
+    short = size <= 7
+    long = np.flatnonzero(~short)
+    h = mix64(key[long] + size[long].astype(np.uint64) * _GOLDEN)
+    live, at = np.flatnonzero((size[long] > 8) & (size[long] <= _STEPPED)), 8
+    while len(live):
+        own = long[live]
+        part = wide[starts[own] + at] & _FIRST[np.minimum(size[own] - at, 8)]
+        h[live] = mix64((h[live] ^ part) + _GOLDEN)
+        at += 8
+        live = live[size[own] > at]
+    for k in np.flatnonzero(size[long] > _STEPPED):
+        own = long[k]
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[own] : ends[own]].tobytes(), digest_size=8).digest(), "little")
+    key[short] |= size[short].astype(np.uint64) << np.uint64(56)
+    key[long] = h | np.uint64(1 << 63)
+    return mix64(key)
+
+
+def forms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each span's form, numbered, and the first span of each form: spans are of one form when key and bytes are equal."""
+    form, unique = pd.factorize(keys)
+    first = np.zeros(len(unique), np.int64)
+    first[form[::-1]] = np.arange(len(form))[::-1]
+    size, wide = ends - starts, _windows(data)
+    again = np.flatnonzero(size > 7)
+    again = again[first[form[again]] != again]
+    one = first[form[again]]
+    equal, at, live = size[again] == size[one], 0, np.arange(len(again))
+    live = live[equal & (size[again] <= _STEPPED)]
+    while len(live):
+        a, b = again[live], one[live]
+        same = ((wide[starts[a] + at] ^ wide[starts[b] + at]) & _FIRST[np.minimum(size[a] - at, 8)]) == 0
+        equal[live] &= same
+        at += 8
+        live = live[same & (size[a] > at)]
+    for k in np.flatnonzero(equal & (size[again] > _STEPPED)):
+        equal[k] = (data[starts[again[k]] : ends[again[k]]] == data[starts[one[k]] : ends[one[k]]]).all()
+    if not equal.all():  # a hash of two texts: the bytes themselves tell them apart
+        body, names = data.tobytes(), {}
+        form = np.array([names.setdefault((k, body[a:b]), len(names)) for k, a, b in zip(keys.tolist(), starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.zeros(len(names), np.int64)
+        first[form[::-1]] = np.arange(len(form))[::-1]
+    return form, first
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,28 +143,99 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session has none (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. A session without one is given a temporary folder if it is local, and else refused."""
     sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="askframe-"))
-        at = sc.getCheckpointDir()
-    return at
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="askframe-"))
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What runs inside leaves no shuffle files behind: its result is kept elsewhere, so nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder, with no lineage before them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_go(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Like cut(), as a compressed Parquet table of the shared folder, for what is large."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs kept with a number of each row that stays the same in every later reading, and that column's name."""
+    row = free_name(docs.columns, "_row")
+    return kept(docs.withColumn(row, F.monotonically_increasing_id()), "zstd"), row
+
+
+#: A key is hot when it has more than one row of so many; at most as many keys are.
+HOT = 2048
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has a key once. The rows of left's hot keys, at most HOT keys, meet right's in a
+    broadcast of at most that many rows, so that no task gets all rows of a key; left should be a kept table."""
+    total = left.count()
+    hot = cut(left.groupBy(*on).count().where(F.col("count") * HOT > F.lit(total)).select(*on))
+    if total < HOT * 16 or not hot.take(1):
+        return left.join(right, on, how)
+    few = cut(right.join(F.broadcast(hot), on, "left_semi"))
+    of_hot = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how)
+    return of_hot.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+
+
+def most_frequent(counts: DataFrame, n: str, tie: Column, limit: int) -> DataFrame:
+    """The limit rows of counts with the highest n, ties by the smallest tie: exactly so many, or all.
+
+    Counts beyond 4096 are compared by their twelve highest bits, so that at most some 100,000 levels reach the driver.
+    """
+    shift = f"greatest(0, length(bin(`{n}`)) - 12)"
+    marked = counts.withColumns({"_level": F.expr(f"shiftleft(shiftright(`{n}`, {shift}), {shift})"), "_tie": tie, "_bin": F.pmod(tie, F.lit(4096))})
+
+    def border(levels: pd.DataFrame, room: int) -> tuple[int | None, int]:
+        """The first level that doesn't fit whole, and the room that is left for it."""
+        sums = levels["count"].cumsum()
+        over = levels[sums > room]
+        if not len(over):
+            return None, 0
+        return int(over["k"].iloc[0]), room - int(sums[sums <= room].max() if (sums <= room).any() else 0)
+
+    level, room = border(marked.groupBy(F.col("_level").alias("k")).count().toPandas().sort_values("k", ascending=False, ignore_index=True), limit)
+    if level is None:
+        return counts
+    tied = marked.where(F.col("_level") == level)
+    bin_, left = border(tied.groupBy(F.col("_bin").alias("k")).count().toPandas().sort_values("k", ignore_index=True), room)
+    whole = marked.where((F.col("_level") > level) | ((F.col("_level") == level) & (F.col("_bin") < bin_)))
+    rest = tied.where(F.col("_bin") == bin_).orderBy("_tie").limit(left)
+    return whole.unionByName(rest).select(*counts.columns)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
