@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import board, discover, pick, probes
+from .operators import axis, board, discover, pick, probes
 from .operators.board import Board, Match
-from .operators.conditions import Box, Condition, holds
+from .operators.conditions import Box, Condition, from_filter, holds
 from .plans.compiler import compile_condition, compile_value
 from .plans.legality import Pick
 from .sources.records import Records, Series
@@ -123,12 +123,12 @@ def scalar_avg(spark, sf_dir):
 
 @_query("SELECT CAST(min(l_extendedprice) AS DECIMAL(18,6)) AS value FROM lineitem")
 def scalar_min(spark, sf_dir):
-    return pick.run(items(spark, sf_dir), Pick(aggregate="min", field="l_extendedprice"))
+    return pick.run(items(spark, sf_dir), Pick(aggregate="min", field="l_extendedprice")).select(F.col("value").cast("decimal(18,6)"))
 
 
 @_query("SELECT CAST(max(l_extendedprice) AS DECIMAL(18,6)) AS value FROM lineitem")
 def scalar_max(spark, sf_dir):
-    return pick.run(items(spark, sf_dir), Pick(aggregate="max", field="l_extendedprice"))
+    return pick.run(items(spark, sf_dir), Pick(aggregate="max", field="l_extendedprice")).select(F.col("value").cast("decimal(18,6)"))
 
 
 def _bucket(grain: str, where: str = "", zone: str | None = None) -> str:
@@ -281,3 +281,139 @@ def probe_nested(spark, sf_dir):
 def predicate_strict(spark, sf_dir):
     own = events(spark, sf_dir)
     return own.frame.where(compile_condition('$.event_type == "click" or $.value > 90', own, strict=True)).select("key")
+
+
+def order_docs(spark, sf_dir, owner: str | None = None, folded: bool = False) -> Records:
+    """Orders as JSON documents among others: times with and without a zone's offset, unreadable and null ones, yes/no, lists,
+    groups and long numbers."""
+    rows = _read(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("timestamp"))
+    k, later = F.col("o_orderkey"), F.col("d") + F.expr("INTERVAL '5:30' HOUR TO MINUTE")
+    at = F.when(k % 2 == 0, F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.concat(F.date_format(later, "yyyy-MM-dd HH:mm:ss"), F.lit("+0530")))
+    body = F.struct(
+        F.when(k % 11 == 0, None).when(k % 7 == 0, "soon").otherwise(at).alias("at"),
+        F.concat(F.lit(" "), F.date_format("d", "yyyy-MM-dd'T'HH:mm"), F.lit("+01:30 ")).alias("short"),
+        F.date_format("d", "yyyy-MM-dd").alias("day"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        F.array(k % 5, k % 3).alias("pair"),
+        F.struct((k % 4).alias("n"), F.array(F.col("o_orderstatus")).alias("in")).alias("group"),
+        F.col("o_orderpriority").alias("order name"),
+    )
+    text = F.to_json(body, {"ignoreNullFields": "false"})
+    long = F.concat(F.lit(', "long": '), k.cast("string"), F.lit(".000000000000000001"), F.when(k % 97 == 0, ', "odd": 12345678901234567').otherwise(', "odd": 1'), F.lit("}"))
+    data = F.concat(F.regexp_replace(text, r"\}\z", ""), long)
+    own = rows.select(F.lit("orders").alias("collection"), F.col("o_orderstatus").alias("owner"), k.cast("string").alias("key"), data.alias("data"))
+    others = own.where("owner = 'F'").withColumns({"collection": F.lit("others"), "key": F.concat(F.lit("x"), "key")})
+    return Records.from_json(own.unionByName(others), "orders", ("owner", owner) if owner else None, folded=folded)
+
+
+_KEY = "CAST(o_orderkey AS VARCHAR)"
+_READ = "(o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0)"
+
+
+@_query(f"SELECT {_KEY} AS key, '\"' || strftime(o_orderdate, '%Y-%m-%d') || '\"' AS day FROM orders WHERE o_orderstatus = 'F'")
+def scan_owner(spark, sf_dir):
+    return pick.run(order_docs(spark, sf_dir, "F"), Pick(columns=("day",)))
+
+
+@_query(f"SELECT {_KEY} AS key, o_orderpriority = '1-URGENT' AS urgent FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 3 = 0")
+def cond_yes_no(spark, sf_dir):
+    own = order_docs(spark, sf_dir)
+    box = Box("all", (Condition("urgent", "no", "yesno"), Condition("pair", "present", "mixed")))
+    return own.frame.where(holds(box, own)[0] & compile_condition("$.pair[1] == 0", own)).select("key", own.at(("urgent",)).flag.alias("urgent"))
+
+
+@_query(f"""SELECT 'after' AS op, count(*) AS n FROM orders WHERE {_READ} AND o_orderdate > TIMESTAMP '1995-06-01 12:00:00'
+UNION ALL SELECT 'before', count(*) FROM orders WHERE {_READ} AND o_orderdate < TIMESTAMP '1995-06-01 18:00:00'
+UNION ALL SELECT 'between', count(*) FROM orders WHERE {_READ} AND o_orderdate BETWEEN TIMESTAMP '1994-01-01 07:00:00' AND TIMESTAMP '1996-01-01 00:00:00'
+UNION ALL SELECT 'date', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1995-06-01'""")
+def cond_time_after_before_between(spark, sf_dir):
+    own = order_docs(spark, sf_dir)
+    tests = {
+        "after": Condition("at", "after", "time", ("1995-06-01T12:00Z",)),
+        "before": Condition("at", "before", "time", ("1995-06-01T12:00",), "America/Denver"),
+        "between": Condition("at", "between", "time", ("1996-01-01T00:00:00Z", "1994-01-01T00:00"), "America/Denver"),
+        "date": Condition("day", "after", "date", ("1995-06-01",)),
+    }
+    sums = own.frame.agg(*(F.coalesce(F.sum(F.when(holds(c, own)[0], 1)), F.lit(0)).alias(k) for k, c in tests.items()))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("op"), F.col(k).alias("n")) for k in tests))).alias("r")).select("r.*")
+
+
+@_query(f"""WITH c AS (SELECT {_KEY} AS key, o_orderpriority = '1-URGENT' AS u, o_orderkey % 4 = 1 AS n, CASE WHEN {_READ} THEN o_orderdate > TIMESTAMP '1995-06-01 12:00:00' END AS t FROM orders)
+SELECT key FROM c WHERE t IS NOT NULL AND (t::INT + (u OR n)::INT) = 1""")
+def filter_tree(spark, sf_dir):
+    """A stored tree: exactly one of a time, which holds and fails nowhere where it can't be read, and a group."""
+    own = order_docs(spark, sf_dir)
+    tree = {"version": 1, "join": "one", "items": [{"field": "at", "op": "after", "value": "1995-06-01T12:00:00Z"}, {"join": "any", "items": [{"field": "urgent", "op": "yes"}, {"field": "group.n", "op": "eq", "value": 1}, {"items": []}]}]}
+    box = from_filter({"filter": tree}, {"at": "time", "urgent": "yesno", "group.n": "number"})
+    return own.frame.where(holds(box, own)[0]).select("key")
+
+
+@_query(f"SELECT {_KEY} AS key FROM orders ORDER BY CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END, CASE WHEN {_READ} THEN o_orderdate END, key LIMIT 2000")
+def sort_time_field(spark, sf_dir):
+    return pick.run(order_docs(spark, sf_dir), Pick(sort="at", sort_time=True, cap=2000)).select("key")
+
+
+@_query(f"SELECT {_KEY} AS key FROM orders ORDER BY o_orderkey % 5 DESC, o_orderkey % 3 DESC, key LIMIT 777")
+def sort_lists(spark, sf_dir):
+    return pick.run(order_docs(spark, sf_dir), Pick(sort="pair", direction="desc", cap=777)).select("key")
+
+
+@_query(f"SELECT {_KEY} AS key FROM orders ORDER BY o_orderkey % 4, o_orderstatus, key LIMIT 777")
+def sort_groups(spark, sf_dir):
+    """Groups order by their keys, shorter first: n before in."""
+    return pick.run(order_docs(spark, sf_dir), Pick(sort="group", cap=777)).select("key")
+
+
+@_query(f"""SELECT o_orderpriority AS p, count(*) AS rows, strftime(max(o_orderdate) FILTER ({_READ}), '%Y-%m-%dT%H:%M:%SZ') AS latest, strftime(min(o_orderdate) FILTER ({_READ}), '%Y-%m-%dT%H:%M:%SZ') AS earliest,
+strftime(max(o_orderdate), '%Y-%m-%d') AS day FROM orders GROUP BY 1""")
+def board_latest_by_instant(spark, sf_dir):
+    out = board.own_rows(order_docs(spark, sf_dir), Board('["order name"]', times=(("latest", "max", "at", "time"), ("earliest", "min", "at", "time"), ("day", "max", "day"))))
+    return out.select(F.regexp_replace("order name", '"', "").alias("p"), "rows", "latest", "earliest", "day")
+
+
+@_query("SELECT CAST(sum(o_orderkey) + count(*) * CAST('0.000000000000000001' AS DECIMAL(38,18)) AS DECIMAL(38,6)) AS total, CAST(max(o_orderkey) + CAST('0.000000000000000001' AS DECIMAL(38,18)) AS VARCHAR) AS most FROM orders")
+def exact_json_numbers(spark, sf_dir):
+    own = order_docs(spark, sf_dir)
+    total = pick.run(own, Pick(aggregate="sum", field="long")).select(F.col("value").cast("decimal(38,6)").alias("total"))
+    return total.join(pick.run(own, Pick(aggregate="max", field="long")).select(F.col("value").cast("string").alias("most")), how="cross")
+
+
+@_query(f"SELECT {_KEY} AS key, CAST(2 AS DOUBLE) AS pairs, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END AS DOUBLE) AS given, (epoch(date_trunc('minute', o_orderdate)) - 5400) / 86400.0::DOUBLE AS days FROM orders")
+def expr_count_and_loose_times(spark, sf_dir):
+    own = order_docs(spark, sf_dir)
+    return pick.run(own, Pick(computed=(("pairs", "count($.pair)"), ("given", "count($.at, null, 1)"), ("days", 'days_between("1970-01-01", $.short)'))))
+
+
+@_query(f"SELECT 'held' AS probe, 'odd' AS field, min({_KEY}) AS key FROM orders WHERE o_orderkey % 97 = 0 HAVING count(*) > 0")
+def probe_held(spark, sf_dir):
+    return probes.probe(order_docs(spark, sf_dir), "$.odd + 1 > 2")
+
+
+@_query(f"SELECT {_KEY} AS key, o_orderpriority AS name, 'orders' AS noun FROM orders WHERE o_orderpriority < '3'")
+def folded_keys(spark, sf_dir):
+    own = order_docs(spark, sf_dir, folded=True)
+    return pick.run(own, Pick(computed=(("name", "string($.order_name)"), ("noun", "string($._noun_type)")), filter='$.order_name < "3"'))
+
+
+@_query(f"""WITH b AS (SELECT date_trunc('hour', timezone('America/Denver', timezone('UTC', ts))) AS t, {_SUM.format('value')} AS value FROM events WHERE event_id % 50 = 0 GROUP BY 1)
+SELECT strftime(g.t, '%Y-%m-%dT%H:%M:%S') AS bucket, b.value FROM (SELECT unnest(generate_series((SELECT min(t) FROM b), (SELECT max(t) FROM b), INTERVAL 1 HOUR)) AS t) AS g LEFT JOIN b ON b.t = g.t""")
+def axis_hours(spark, sf_dir):
+    filled = axis.fill(_buckets(spark, sf_dir, bucket="hour", bucket_zone="America/Denver", filter="$.event_id % 50 == 0"), "hour", "America/Denver")
+    return filled
+
+
+@_query(f"SELECT {_KEY} AS key, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def third_page(spark, sf_dir):
+    return pick.page(pick.run(orders(spark, sf_dir), Pick(columns=("o_totalprice",), sort="o_totalprice", direction="desc")), 3)
+
+
+@_query(f"""SELECT 'at' AS field, 'time' AS kind, count(*) FILTER (o_orderkey % 11 <> 0) AS present, count(*) FILTER (o_orderkey % 11 <> 0) AS filled, count(*) FILTER ({_READ}) AS readable,
+strftime(min(o_orderdate) FILTER ({_READ}), '%Y-%m-%dT%H:%M:%SZ') AS least_time, strftime(max(o_orderdate) FILTER ({_READ}), '%Y-%m-%dT%H:%M:%SZ') AS most_time, NULL::VARCHAR AS most_day FROM orders
+UNION ALL SELECT 'day', 'date', count(*), count(*), 0, NULL, NULL, strftime(max(o_orderdate), '%Y-%m-%d') FROM orders
+UNION ALL SELECT 'urgent', 'yesno', count(*), 0, 0, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'group.n', 'number', count(*), 0, 0, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'group', 'mixed', count(*), 0, 0, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'pair', 'mixed', count(*), 0, 0, NULL, NULL, NULL FROM orders""")
+def field_facts_json(spark, sf_dir):
+    found = discover.facts(order_docs(spark, sf_dir)).where(F.col("field").isin("at", "day", "urgent", "group.n", "group", "pair"))
+    return found.select("field", "kind", "present", "filled", "readable", "least_time", "most_time", "most_day")

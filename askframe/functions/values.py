@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 
 # White space that text may have around a number.
 TRIM = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-DECIMAL = "decimal(38,12)"
+#: Exact numbers: 20 digits before the point and 18 behind it. JSON numbers beyond that are refused by name.
+DECIMAL = "decimal(38,18)"
 
 
 def _digits() -> tuple[str, str]:
@@ -24,9 +27,14 @@ def _digits() -> tuple[str, str]:
 _ANY, _ASCII = _digits()
 
 
+def plain_text(text: Column) -> Column:
+    """A text without white space around it, its digits of any script as 0 to 9."""
+    return F.translate(F.btrim(text, F.lit(TRIM)), _ANY, _ASCII)
+
+
 def number_text(text: Column) -> Column:
     """A double, where the trimmed text is a whole decimal in digits of any script; else null."""
-    plain = F.translate(F.btrim(text, F.lit(TRIM)), _ANY, _ASCII)
+    plain = plain_text(text)
     fits = plain.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
     read = F.when(fits, plain.try_cast("double"))
     return F.when(F.abs(read) == float("inf"), F.raise_error(F.lit("number out of range")).cast("double")).otherwise(read)
@@ -47,7 +55,6 @@ def ecma_text(x) -> str | None:
     """The shortest text of a double: plain from 1e-6 up to 1e21, with an exponent beyond."""
     if x is None or x != x:
         return None
-    digits, exponent = f"{abs(x):e}".split("e")
     sign, shortest = ("-" if x < 0 else ""), repr(abs(x))
     digits, _, e = shortest.partition("e")
     whole, _, part = digits.partition(".")
@@ -68,6 +75,34 @@ def ecma_text(x) -> str | None:
     return sign + body[0] + ("." + body[1:] if n > 1 else "") + f"e{'+' if e > 0 else '-'}{abs(e)}"
 
 
+def order_bytes(v) -> bytes:
+    """Bytes that order JSON values as null < text < number < yes/no < list < group: lists by length, then by element; groups
+    by their number of pairs, then by key (shorter first) and value, pair by pair."""
+    if v is None:
+        return b"\x01"
+    if isinstance(v, str):
+        return b"\x02" + v.encode("utf-8", "surrogatepass").replace(b"\0", b"\0\xff") + b"\0\0"
+    if isinstance(v, bool):
+        return b"\x04" + bytes([v])
+    if isinstance(v, list):
+        return b"\x05" + len(v).to_bytes(4, "big") + b"".join(map(order_bytes, v))
+    if isinstance(v, dict):
+        pairs = sorted(((k.encode("utf-8", "surrogatepass"), x) for k, x in v.items()), key=lambda p: (len(p[0]), p[0]))
+        return b"\x06" + len(pairs).to_bytes(4, "big") + b"".join(len(k).to_bytes(4, "big") + k + order_bytes(x) for k, x in pairs)
+    sign, digits, exponent = v.as_tuple()
+    body = bytes(digits).lstrip(b"\0")
+    if not body:
+        return b"\x03\x01"
+    point = len(body) + exponent
+    own = (point + (1 << 31)).to_bytes(4, "big") + bytes(d + 1 for d in body.rstrip(b"\0")) + b"\0"
+    return b"\x03" + (b"\0" + bytes(255 - x for x in own) if sign else b"\x02" + own)
+
+
+@F.pandas_udf(T.BinaryType())
+def json_order(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else order_bytes(json.loads(x, parse_float=Decimal, parse_int=Decimal)))
+
+
 @dataclass
 class Value:
     """kind: null, bool, num, str or json (known only in each row). column: of the matching type, a variant for json."""
@@ -75,6 +110,7 @@ class Value:
     kind: str
     column: Column
     exact: Column | None = None  # the number as a decimal, of typed columns
+    instant: Column | None = None  # the moment, of typed times
 
     @property
     def tag(self) -> Column:
@@ -108,12 +144,24 @@ class Value:
 
     @property
     def decimal(self) -> Column:
-        """The exact number of JSON or typed numbers; text, booleans and lists read as null."""
+        """The exact number of JSON or typed numbers; text, booleans and lists read as null. One that 38 digits, 18 of them
+        behind the point, don't hold is refused, but a typed double is read to 18 places."""
+        if self.kind not in ("json", "num"):
+            return F.lit(None).cast(DECIMAL)
+        number = self.num if self.kind == "json" else self.column
+        return F.when(number.isNotNull() & self.held.isNull(), F.raise_error(F.lit("a number is beyond exact reading")).cast(DECIMAL)).otherwise(self.held)
+
+    @property
+    def held(self) -> Column:
+        """As decimal, but null of a number that isn't held exactly."""
         if self.exact is not None:
             return self.exact
         if self.kind == "json":
-            return F.when(self.tag == "num", F.try_variant_get(self.column, "$", DECIMAL))
-        return self.column.cast(DECIMAL) if self.kind == "num" else F.lit(None).cast(DECIMAL)
+            shape, read = F.schema_of_variant(self.column), F.try_variant_get(self.column, "$", DECIMAL)
+            scale = F.regexp_extract(shape, r"\ADECIMAL\([0-9]+,([0-9]+)\)\z", 1).try_cast("int")
+            whole = F.when(shape == "DOUBLE", read.cast("double") == self.num).otherwise(F.coalesce(scale, F.lit(0)) <= 18)
+            return F.when((self.tag == "num") & whole, read)
+        return self.column.try_cast(DECIMAL) if self.kind == "num" else F.lit(None).cast(DECIMAL)
 
     @property
     def canonical(self) -> Column:

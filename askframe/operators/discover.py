@@ -21,29 +21,55 @@ def keys(records: Records) -> DataFrame:
     return records.frame.select(F.explode(fields).alias("field")).distinct().orderBy("field")
 
 
+# Fixed value: what looks like a time or date, readable or not.
+LOOKS = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?([Zz]|[+-][0-9]{2}(:?[0-9]{2}(:?[0-9]{2})?)?)?)?\z"
+
+
 def facts(records: Records) -> DataFrame:
-    """field, kind (number, date, time, text, yesno or mixed), present, different, least and most of each field."""
+    """What each field holds, one row a field; in JSON records also the fields within fields, as a.b.
+
+    field; kind; present (values), different; least_number, most_number; least_text, most_text; texts (different ones);
+    filled, looks, readable, no_date (values that are text and not empty; that look like a time; that are readable times with
+    a time of day; that aren't a date); least_time, most_time (of readable times, to the second); least_day, most_day.
+    kind: number, text, yesno if all values are; date if all texts are dates; time if one is a readable time and more than half
+    of the texts look like one; else mixed. One grouped pass over the different values.
+    """
     if records.typed:
-        names = [c for c in records.frame.columns if c != "key"]
         parts = []
-        for c in names:
+        for c in (c for c in records.frame.columns if c != "key"):
             v = records.at((c,))
             parts.append(F.struct(F.lit(c).alias("field"), v.tag.alias("tag"), v.column.cast("string").alias("text"), v.number.alias("num") if v.kind != "str" else F.lit(None).cast("double").alias("num")))
         cells = records.frame.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
     else:
-        pairs = records.frame.select(F.explode(F.try_variant_get("doc", "$", "map<string,variant>")))
+        pairs = "map<string,variant>"
+        top = records.frame.select(F.explode(F.try_variant_get("doc", "$", pairs)).alias("field", "value"))
+        group = Value("json", F.col("value"))
+        within = F.transform(F.map_entries(F.try_variant_get(F.when(group.tag == "obj", F.col("value")), "$", pairs)), lambda e: F.struct(F.concat(F.col("field"), F.lit("."), e["key"]).alias("field"), e["value"].alias("value")))
+        own = F.array(F.struct(F.col("field"), F.col("value")))
+        every = top.select(F.explode(F.when(within.isNull(), own).otherwise(F.concat(own, within))).alias("e")).select("e.*")
         v = Value("json", F.col("value"))
-        cells = pairs.select(F.col("key").alias("field"), v.tag.alias("tag"), F.coalesce(v.text, v.canonical).alias("text"), v.num.alias("num"))
+        cells = every.select("field", v.tag.alias("tag"), F.coalesce(v.text, v.canonical).alias("text"), v.num.alias("num"))
     values = cells.where("tag != 'null'").groupBy("field", "tag", "text").agg(F.count(F.lit(1)).alias("n"), F.first("num").alias("num"))
-    is_time = times.instant(F.col("text")).isNotNull()
-    is_date = times.moment(F.col("text")).isNotNull() & ~is_time
-    form = F.when(F.col("tag") == "num", "number").when(F.col("tag") == "bool", "yesno").when(F.col("tag") != "str", "mixed").when(is_time, "time").when(is_date, "date").otherwise("text")
-    kinds = values.withColumn("form", form).groupBy("field").agg(
-        F.sum("n").alias("present"), F.count(F.lit(1)).alias("different"), F.count_distinct("form").alias("forms"), F.min("form").alias("form"),
-        F.min("num").alias("least_number"), F.max("num").alias("most_number"), F.min(F.when(F.col("tag") == "str", F.col("text"))).alias("least_text"), F.max(F.when(F.col("tag") == "str", F.col("text"))).alias("most_text"),
+    text, is_text = F.col("text"), F.col("tag") == "str"
+    at, day = times.to_second(text), times.is_day(text)
+    marks = {"filled": is_text & (text != ""), "looks": is_text & text.rlike(LOOKS), "time": is_text & at.isNotNull() & ~day, "day": is_text & day, "dated": is_text & text.rlike(times.DATE)}
+    own = values.withColumns({**marks, "at": F.when(is_text, at)})
+
+    def total(test: str):
+        return F.coalesce(F.sum(F.when(F.expr(test), F.col("n"))), F.lit(0)).cast("bigint")
+
+    def ends(column: str, test: str, name: str):
+        return [getattr(F, how)(F.when(F.expr(test), F.col(column))).alias(f"{side}_{name}") for how, side in (("min", "least"), ("max", "most"))]
+
+    sums = own.groupBy("field").agg(
+        F.sum("n").cast("bigint").alias("present"), F.count(F.lit(1)).alias("different"), F.count_distinct("tag").alias("tags"), F.min("tag").alias("tag"),
+        *ends("num", "tag = 'num'", "number"), *ends("text", "tag = 'str'", "text"), F.count(F.when(is_text, 1)).alias("texts"),
+        total("filled").alias("filled"), total("filled and looks").alias("looks"), total("filled and time").alias("readable"), total("filled and not dated").alias("no_date"),
+        *ends("at", "time", "time"), *ends("at", "day", "day"),
     )
-    kind = F.when(F.col("forms") == 1, F.col("form")).otherwise("mixed")
-    return kinds.select("field", kind.alias("kind"), F.col("present").cast("bigint").alias("present"), "different", "least_number", "most_number", "least_text", "most_text").orderBy("field")
+    of_text = F.when((F.col("filled") > 0) & (F.col("no_date") == 0), "date").when((F.col("readable") > 0) & (F.col("looks") * 2 > F.col("filled")), "time").otherwise("text")
+    kind = F.when(F.col("tags") > 1, "mixed").when(F.col("tag") == "num", "number").when(F.col("tag") == "bool", "yesno").when(F.col("tag") == "str", of_text).otherwise("mixed")
+    return sums.select("field", kind.alias("kind"), "present", "different", "least_number", "most_number", "least_text", "most_text", "texts", "filled", "looks", "readable", "no_date", "least_time", "most_time", "least_day", "most_day").orderBy("field")
 
 
 def listed(records: Records, field: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import Refusal
 from ..functions import times
-from ..functions.values import Value
+from ..functions.values import Value, json_order
 from ..plans.compiler import compile_condition, compile_value
 from ..plans.legality import ROLLING_WIDTH, Pick, validate
 from ..plans.syntax import parse_path
@@ -17,26 +18,43 @@ def exact(function: str, number: Column) -> Column:
     """sum, avg, min or max of exact numbers; sum and avg rounded half up to six places, in one rounding."""
     if function in ("min", "max"):
         return getattr(F, function)(number)
-    total, n = F.sum(number), F.count(number)
-    if function == "sum":
-        return F.round(total, 6)
-    whole = (F.abs(total) * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,6)")
-    count = F.when(n > 0, n).cast("decimal(20,0)")
-    half = F.floor((whole * 2 + count) / (count * 2)).cast("decimal(38,0)")
-    return (F.signum(total).cast("decimal(1,0)") * half / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,6)")
+    return F.round(F.sum(number), 6) if function == "sum" else mean(F.sum(number), F.count(number))
 
 
-def sort_keys(value: Value, present: Column) -> list[Column]:
+def mean(total: Column, n: Column) -> Column:
+    """total / n, rounded half up to six places: the quotient of whole numbers, put right by its remainder."""
+    count = F.when(n > 0, n).cast("decimal(18,0)")
+    twice = (F.abs(total).cast("decimal(38,18)") * F.lit(2_000_000).cast("decimal(7,0)")).cast("decimal(38,12)") + count
+    whole = F.floor(twice.cast("decimal(38,12)") / (count * 2)).cast("decimal(26,0)")
+    whole = F.when(whole.cast("decimal(38,0)") * (count * 2) > twice, whole - 1).otherwise(whole).cast("decimal(26,0)")
+    return (F.signum(total).cast("decimal(1,0)") * whole * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(38,6)")
+
+
+def sort_keys(value: Value, present: Column, as_time: bool = False) -> list[Column]:
     """Columns in whose order values come, nulls last. Order of JSON values: null < text < number < yes/no < list < group, missing last in both directions.
 
-    Lists and groups order by size, then by their canonical text; the empty list comes before everything.
+    Numbers order by value, exactly where 38 digits hold them; lists and groups in depth; the empty list comes before
+    everything. as_time: readable times and dates by their moment, any other value last but for a JSON null.
     """
+    if value.instant is not None:
+        return [value.instant]
+    if as_time:
+        at = times.moment(value.text)
+        blank = (value.tag == "null") & present
+        return [F.when(blank, 0).when(at.isNotNull(), 1), at]
     if value.kind != "json":
         return [value.column]
     t = value.tag
-    size = F.coalesce(F.size(value.items), F.size(F.map_keys(F.try_variant_get(F.when(t == "obj", value.column), "$", "map<string,variant>"))))
-    rank = F.when(~present, F.lit(None)).when((t == "arr") & (size == 0), 0).when(t == "null", 1).when(t == "str", 2).when(t == "num", 3).when(t == "bool", 4).when(t == "arr", 5).otherwise(6)
-    return [rank, value.text, value.decimal, value.num, value.flag, F.when(t.isin("arr", "obj"), size), F.when(t.isin("arr", "obj"), value.canonical)]
+    empty = (t == "arr") & (F.size(value.items) == 0)
+    rank = F.when(~present, F.lit(None)).when(empty, 0).when(t == "null", 1).when(t == "str", 2).when(t == "num", 3).when(t == "bool", 4).when(t == "arr", 5).otherwise(6)
+    return [rank, value.text, value.num, value.held, value.flag, json_order(F.when(t.isin("arr", "obj"), value.canonical))]
+
+
+def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """One page, the first is 1, of rows in a fixed order (a sorted pick's)."""
+    if isinstance(number, bool) or not isinstance(number, int) or number < 1 or size < 1:
+        raise Refusal("page", "pages are numbered from 1")
+    return rows.offset((number - 1) * size).limit(size)
 
 
 def run(records: Records, pick: Pick, strict: bool = False, now_ms: float | None = None) -> DataFrame:
@@ -76,7 +94,7 @@ def run(records: Records, pick: Pick, strict: bool = False, now_ms: float | None
     if pick.sort is not None:
         value = computed.get(pick.sort) or records.at(parse_path(pick.sort))
         present = ~value.missing if pick.sort in computed else records.has(parse_path(pick.sort))
-        keys = sort_keys(value, present)
+        keys = sort_keys(value, present, pick.sort_time)
     out = frame.select(*columns, *(k.alias(f"_sort{i}") for i, k in enumerate(keys)), *keep, F.col(records.tie).alias("_tie"))
     if pick.changed:
         out = out.where("_changed")
@@ -101,7 +119,7 @@ def _aggregate(records: Records, pick: Pick) -> Column:
 def _rolling(number: Column, window) -> Column:
     """The mean of the numbers among the last rows, exact up to one rounding to six places."""
     frame = window.rowsBetween(1 - ROLLING_WIDTH, 0)
-    return F.round(F.sum(number).over(frame) / F.when(F.count(number).over(frame) > 0, F.count(number).over(frame)).cast("decimal(2,0)"), 6).cast("decimal(38,6)")
+    return mean(F.sum(number).over(frame), F.count(number).over(frame))
 
 
 def _without_time(records: Records) -> Column:

@@ -35,8 +35,7 @@ def probe(records: Records, source: str) -> DataFrame:
         if steps in numeric:
             tests.append(("range", steps, F.abs(v.num) == float("inf")))
             if v.kind == "json":
-                exact = F.try_variant_get(F.when(v.tag == "num", v.column), "$", DECIMAL)
-                tests.append(("held", steps, exact != exact.cast("double").cast(DECIMAL)))
+                tests.append(("held", steps, (v.tag == "num") & F.coalesce(v.held != v.num.try_cast(DECIMAL), F.lit(True)) & (F.schema_of_variant(v.column) != "DOUBLE")))
         if steps in compared and v.kind == "json":
             tests.append(("nested", steps, v.tag.isin("arr", "obj")))
     if not tests:

@@ -189,8 +189,8 @@ class Compiler:
 
     def f_time_of_day(self, c):
         zone = check_zone(c)
-        at = self.records.instant(c.args[0].steps) if isinstance(c.args[0], Path) and self.records.typed else times.instant(self.value(c.args[0]).text)
-        return _num(times.seconds_of_day(at, zone))
+        v = self.value(c.args[0])
+        return _num(times.seconds_of_day(times.clock_instant(v.text) if v.instant is None else v.instant, zone))
 
 
 def _whole(x: Column, rule) -> Column:

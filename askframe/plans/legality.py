@@ -34,6 +34,7 @@ class Pick:
     bucket_zone: str | None = None
     sort: str | None = None
     direction: str = "asc"
+    sort_time: bool = False  # the sort's field is a time field
     cap: int | None = None
 
 
@@ -68,6 +69,8 @@ def validate(pick: Pick, records: Records) -> str:
         raise Refusal("zone", f"{pick.bucket_zone!r} is no zone")
     if own != "ROWS" and (pick.rolling or pick.changed):
         raise Refusal("aggregate", "a total leaves no rows for a rolling mean or a comparison with the row before")
+    if pick.sort_time and (pick.sort is None or any(pick.sort == name for name, _ in pick.computed)):
+        raise Refusal("sort", "a sort by time names a field")
     if pick.sort is not None and own != "ROWS":
         raise Refusal("sort", "a total leaves no rows to sort")
     if pick.cap is not None and own == "SCALAR":

@@ -1,22 +1,26 @@
 """The library's queries against DuckDB, and the language's rules one by one."""
 
 import glob
+import json
 import math
 import os
+import random
+from decimal import Decimal
+from fractions import Fraction
 
 import duckdb
 import pytest
 
 from askframe import contract
 from askframe.errors import Refusal
-from askframe.functions.values import ecma_text
-from askframe.operators import board, pick, probes
+from askframe.functions.values import ecma_text, order_bytes
+from askframe.operators import axis, board, conditions, pick, probes
 from askframe.operators.board import Board, Match
 from askframe.plans import gate
 from askframe.plans.compiler import compile_value
 from askframe.plans.legality import Pick, validate
 from askframe.plans.syntax import Binary, Literal, parse, parse_path, spell_path
-from askframe.sources.records import Records, Series
+from askframe.sources.records import Records, Series, copied_from
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,3 +181,151 @@ def test_probes(docs):
     assert found == {("nested", "l", "a")}
     with pytest.raises(Refusal):
         probes.refuse_unsafe(docs, "$.l == 1")
+
+
+def json_records(spark, docs, series=None, **more):
+    rows = spark.createDataFrame([("c", f"k{i}", d) for i, d in enumerate(docs)], "collection string, key string, data string")
+    return Records.from_json(rows, "c", series=series, **more)
+
+
+@pytest.mark.parametrize(
+    "text, days",
+    [
+        ("2024-01-01T10:00Z", 10 / 24), ("2024-01-01T10:00", 10 / 24), ("2024-01-01 10:00+0530", 4.5 / 24), ("2024-01-01T00:00:00.25-01:00", (3600.25) / 86400), ("　2024-01-02 ", 1.0), ("２024-01-02", 1.0),
+        ("２０２４-01-03", 2.0), ("2024-01-01T24:00", None), ("2024-01-01T10:00:00+99:99", (10 * 60 - 99 * 60 - 99) / 1440), ("2024-01-01T1:00", None), ("2024-02-30", None), ("0000-01-01", None), ("2024-01-01T10:00:00.1234567", None), ("2024-01-01t10:00", None),
+    ],
+)
+def test_times_that_functions_read(spark, text, days):
+    own = json_records(spark, [json.dumps({"t": text})])
+    got = own.frame.select(compile_value('days_between("2024-01-01", $.t)', own).column).first()[0]
+    assert got == days or got is not None and days is not None and abs(got - days) < 1e-12
+
+
+def test_time_of_day_reads_naive_times_and_no_dates(spark):
+    own = json_records(spark, ['{"t": "2024-01-01T10:00"}', '{"t": "2024-01-01"}', '{"t": "1969-12-31T23:59:59.5Z"}'])
+    got = [r[0] for r in own.frame.orderBy("key").select(compile_value('time_of_day($.t, "UTC")', own).column).collect()]
+    assert got == [36000.0, None, 86399.0]
+
+
+def test_exact_numbers_are_exact_or_refused(spark):
+    small = json_records(spark, ['{"n": 1e-13}', '{"n": 0.5}', '{"n": "7"}', '{"n": true}'])
+    assert pick.run(small, Pick(aggregate="min", field="n")).first()[0] == Decimal("1E-13")
+    assert pick.run(small, Pick(aggregate="sum", field="n")).first()[0] == Decimal("0.5")
+    for odd in ("123456789012345678901234567890123456789012", "0.1234567890123456789", "1e400", "1e-19", "123456789012345678901"):
+        own = json_records(spark, [f'{{"n": {odd}}}', '{"n": 1}'])
+        with pytest.raises(Exception, match="beyond exact reading"):
+            pick.run(own, Pick(aggregate="sum", field="n")).collect()
+    typed = Records.from_table(spark.createDataFrame([(1, 2e12), (2, 1e-7), (3, float("nan"))], "id long, v double"), ["id"])
+    assert pick.run(typed, Pick(aggregate="sum", field="v")).first()[0] == Decimal("2000000000000.000000")
+    ours = Records.from_table(spark.createDataFrame([(1, 1e-7), (2, 5.0), (3, -0.0)], "id long, v double"), ["id"])
+    theirs = Records.from_table(spark.createDataFrame([(1, 2e-7), (2, 5.0), (3, 0.0)], "id long, v double"), ["id"])
+    got = {r["key"]: r["other_id"] for r in board.lookup(ours, theirs, Match("v", "v", "number"), (), ("id",)).collect()}
+    assert got == {"1": None, "2": 2, "3": 3}
+    json_side = json_records(spark, ['{"v": 5}', '{"v": 1e-7}', '{"v": "5"}', '{"v": 0.0000001000000000000001}'])
+    assert {r["key"]: r["other_id"] for r in board.lookup(json_side, ours, Match("v", "v", "number"), (), ("id",)).collect()} == {"k0": 2, "k1": 1, "k2": None, "k3": None}
+
+
+def test_mean_is_rounded_once(spark):
+    r = random.Random(7)
+    rows = [(k % 40, Decimal(r.randint(-(10**12), 10**12)).scaleb(-r.randint(0, 9))) for k in range(400)]
+    own = Records.from_table(spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate(rows)], "id long, g long, v decimal(30,12)"), ["id"])
+    out = {r["g"]: r["m"] for r in board.own_rows(own, Board("g", measures=(("m", "avg", "v"),))).collect()}
+    for g in range(40):
+        mine = [x for k, x in rows if k == g]
+        exact = Fraction(sum(map(Fraction, mine), Fraction(0)), len(mine)) * 10**6
+        half_up = math.floor(abs(exact) + Fraction(1, 2)) * (1 if exact >= 0 else -1)
+        assert out[g] == Decimal(half_up).scaleb(-6)
+
+
+def test_order_of_nested_values(spark):
+    docs = ['{"v": [10, 1]}', '{"v": [2, 1]}', '{"v": [2, "a"]}', '{"v": []}', '{"v": null}', '{"v": "z"}', '{"v": 3}', '{"v": true}', '{"v": [9]}', '{"v": {"bb": 1}}', '{"v": {"a": 2}}', '{"v": {"a": 1, "b": 0}}', "{}", '{"v": [[]]}', '{"v": 12345678901234567890}', '{"v": 12345678901234567891}', '{"v": -5}', '{"v": [-5.5]}', '{"v": [-5.25]}']
+    own = json_records(spark, docs)
+    order = [r["key"] for r in pick.run(own, Pick(sort="v")).collect()]
+    want = ["k3", "k4", "k5", "k16", "k6", "k14", "k15", "k7", "k17", "k18", "k8", "k13", "k2", "k1", "k0", "k10", "k9", "k11", "k12"]
+    assert order == want
+    assert [r["key"] for r in pick.run(own, Pick(sort="v", direction="desc")).collect()] == want[-2::-1] + ["k12"]
+    assert order_bytes(Decimal("1.50")) == order_bytes(Decimal("1.5")) and order_bytes(Decimal("-2")) < order_bytes(Decimal("-1.9")) < order_bytes(Decimal(0)) < order_bytes(Decimal("1e-9")) < order_bytes(Decimal("10")) < order_bytes(Decimal("10.01"))
+
+
+def test_times_order_by_moment(spark):
+    docs = ['{"t": "2024-01-01T00:00:00+05:00", "g": 1}', '{"t": "2023-12-31T23:00:00Z", "g": 1}', '{"t": "soon", "g": 1}', '{"t": null, "g": 1}', "{}", '{"t": "2023-12-31", "g": 2}']
+    own = json_records(spark, docs)
+    assert [r["key"] for r in pick.run(own, Pick(sort="t", sort_time=True)).collect()] == ["k3", "k5", "k0", "k1", "k2", "k4"]
+    assert [r["key"] for r in pick.run(own, Pick(sort="t", sort_time=True, direction="desc")).collect()] == ["k1", "k0", "k5", "k3", "k2", "k4"]
+    out = {r["g"]: r["last"] for r in board.own_rows(own, Board("g", times=(("last", "max", "t", "time"),))).collect()}
+    assert out == {"1": "2023-12-31T23:00:00Z", "2": "2023-12-31", None: None}
+    with pytest.raises(Refusal):
+        validate(Pick(sort_time=True), own)
+
+
+def test_stored_filters(spark):
+    own = json_records(spark, ['{"t": "2024-01-10T12:00:00Z", "n": 1}', '{"t": "soon", "n": 2}', '{"n": 3}', '{"t": "2024-01-10", "n": 4}'])
+    kinds = {"t": "time", "n": "number"}
+
+    def keys(question, zone="UTC"):
+        return [r["key"] for r in own.frame.where(conditions.holds(conditions.from_filter(question, kinds, zone), own)[0]).orderBy("key").collect()]
+
+    after = {"field": "t", "op": "after", "value": "2024-01-10T00:00Z"}
+    assert keys({"filter": {"version": 1, "join": "all", "items": [after]}}) == ["k0"]
+    assert keys({"conditions": [after, {"field": "n", "op": "ge", "value": 2}], "logic": "one"}) == ["k0", "k3"]
+    assert keys({"conditions": [{"field": "t", "op": "on", "value": "2024-01-10"}]}) == ["k0", "k3"]
+    assert keys({"conditions": [{"field": "t", "op": "on", "value": "2024-01-10"}]}, "Asia/Kolkata") == ["k0", "k3"]
+    assert keys({"conditions": [{"field": "t", "part": "time_of_day", "op": "between", "value": "11:00", "value2": "13:00"}]}) == ["k0"]
+    assert keys({"conditions": [{"field": "n", "op": "between", "value": 3, "value2": 2}]}) == ["k1", "k2"]
+    assert keys({"filter": {"version": 1, "join": "any", "items": [{"items": []}, {"join": "all", "items": [{"field": "n", "op": "eq", "value": 4}]}]}}) == ["k3"]
+    assert conditions.from_filter({}, kinds) is None and conditions.from_filter({"filter": {"version": 1, "items": []}}, kinds) is None
+    deep = {"field": "n", "op": "eq", "value": 1}
+    for _ in range(70):
+        deep = {"items": [deep]}
+    bad = [
+        {"filter": {"version": 2, "items": []}}, {"filter": {"version": True, "items": []}}, {"filter": {"version": 1, "items": [], "x": 1}}, {"filter": {"version": 1, "items": {}}}, {"filter": {"version": 1, "items": []}, "logic": "all"},
+        {"conditions": [after, after]}, {"conditions": [after], "logic": "xor"}, {"conditions": [{"field": "z", "op": "eq", "value": 1}]}, {"conditions": [{"field": "n", "op": "eq"}]}, {"conditions": [{"field": "n", "op": "present", "value": 1}]},
+        {"conditions": [{"field": "n", "op": "from", "part": "time_of_day", "value": "10:00"}]}, {"filter": {"version": 1, "items": [deep]}}, {"filter": {"version": 1, "items": [{"items": [], "version": 1}]}},
+    ]
+    for question in bad:
+        with pytest.raises(Refusal):
+            conditions.from_filter(question, kinds)
+    for card in ({"field": "t", "op": "after", "value": "2024-01-10"}, {"field": "t", "op": "on", "value": "2024-02-30"}, {"field": "t", "op": "eq", "value": 1}, {"field": "n", "op": "eq", "value": 2**60 + 1}, {"field": "n", "op": "eq", "value": 10**400}):
+        with pytest.raises(Refusal):
+            conditions.holds(conditions.from_filter({"conditions": [card]}, kinds), own)
+    with pytest.raises(Refusal, match="skips"):
+        conditions.holds(conditions.from_filter({"conditions": [{"field": "t", "op": "after", "value": "2026-03-08T02:30"}]}, kinds, "America/Denver"), own)
+
+
+def test_folded_keys(spark):
+    assert copied_from("a b c") == ["a b_c", "a_b c", "a_b_c"] and copied_from("a_b c") == [] and copied_from("ab") == []
+    with pytest.raises(Refusal):
+        copied_from("a_b_c_d_e_f_g_h")
+    own = json_records(spark, ['{"a b": 1}', '{"a_b": 2, "a b": 1}', '{"a_b": null, "a b": 3}', "{}"], folded=True)
+    got = own.frame.orderBy("key").select(compile_value("number($.a_b)", own).column, compile_value("string($._noun_type)", own).column).collect()
+    assert [tuple(r) for r in got] == [(1.0, "c"), (2.0, "c"), (None, "c"), (None, "c")]
+    with pytest.raises(Refusal):
+        compile_value("length($)", own)
+
+
+def test_axis(spark):
+    rows = spark.createDataFrame([("2026-03-08T01:00:00", 1.0), ("2026-03-08T04:00:00", 2.0)], "bucket string, value double")
+    assert [tuple(r) for r in axis.fill(rows, "hour", "America/Denver").collect()] == [("2026-03-08T01:00:00", 1.0), ("2026-03-08T03:00:00", None), ("2026-03-08T04:00:00", 2.0)]
+    months = spark.createDataFrame([("2025-11-01T00:00:00Z", 1.0), ("2026-02-01T00:00:00Z", 2.0)], "bucket string, value double")
+    assert [r["bucket"][:7] for r in axis.fill(months, "month").collect()] == ["2025-11", "2025-12", "2026-01", "2026-02"]
+    half = spark.createDataFrame([("2026-10-04T01:00:00", 1.0), ("2026-10-04T03:00:00", 2.0)], "bucket string, value double")
+    assert [r["bucket"][11:13] for r in axis.fill(half, "hour", "Australia/Lord_Howe").collect()] == ["01", "02", "03"]
+    with pytest.raises(Refusal):
+        axis.fill(months, "hour", low="1900-01-01T00:00:00Z")
+    assert axis.fill(months.where("false"), "day").count() == 0
+
+
+def test_pages(spark):
+    own = Records.from_table(spark.createDataFrame([(k,) for k in range(120)], "id long"), ["id"])
+    rows = pick.run(own, Pick(sort="id", direction="desc"))
+    assert [r["key"] for r in pick.page(rows, 3).collect()] == [str(k) for k in range(19, -1, -1)] and pick.page(rows, 4).count() == 0
+    with pytest.raises(Refusal):
+        pick.page(rows, 0)
+
+
+def test_related_counts_after_aggregation(spark):
+    p = Records.from_table(spark.createDataFrame([(1, 10.0, "a"), (2, 20.0, "a"), (3, None, "b"), (4, 30.0, "b"), (5, 30.0, "c")], "id long, k double, g string"), ["id"])
+    c = Records.from_table(spark.createDataFrame([(1, 10.0, 1.0), (2, 10.0, 2.0), (3, 20.0, 4.0), (4, None, 9.0), (5, 99.0, 9.0)], "id long, k double, v double"), ["id"])
+    rows = board.related(p, c, Match("k", "k", "number"), Board("g", counts=(("big", "$.v >= 2"),), measures=(("mean", "avg", "v"), ("most", "max", "v"))))
+    got = {r["g"]: (r["rows"], r["big"], float(r["big_pct"]), r["mean"], r["most"]) for r in rows.collect()}
+    assert got == {"a": (3, 2, 66.7, Decimal("2.333333"), 4), "b": (0, 0, 0.0, None, None), "c": (0, 0, 0.0, None, None)}
