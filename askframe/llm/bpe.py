@@ -2,37 +2,34 @@
 
 The corpus's frequent words are compiled on the driver into a minimal acyclic automaton with shared prefixes and
 suffixes. Each transition carries how many accepted words sort before its branch, so the sum along a path is the word's
-number, whose ids stand in a table. The arrays go to a file that Spark hands to every executor and that the workers
-memory-map; a batch's distinct words walk through it together, one byte at a time. Words that it lacks are merged
-exactly, lowest rank first.
+number, whose ids stand in a table. The arrays go to a file in the shared folder, which Spark hands to every executor and
+the workers memory-map; a batch's distinct words walk through it together, one byte at a time. Words that it lacks are
+merged exactly, lowest rank first. Words count as the same when their bytes are.
 """
 
 from __future__ import annotations
 
-import atexit
 import functools
 import hashlib
+import io
 import json
 import os
 import re
-import shutil
-import tempfile
 import unicodedata
 import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, span_hashes
+from .common import forms, kept, mix64, most_frequent, shared_dir, slices, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
-#: Words that are compiled; the bound of the lexicon's size.
-LEXICON_WORDS = 1 << 18
+#: Words that are compiled, and bytes of the longest: the bound of the lexicon's size. Other words are merged.
+LEXICON_WORDS, LEXICON_BYTES = 1 << 18, 64
 #: Merged words that a worker remembers; results don't depend on it.
 MEMO_WORDS = 1 << 17
 _CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -303,8 +300,8 @@ class Splitter:
         return Words(np.frombuffer(b"".join(buf), np.uint8), start[order], end[order], row[order], special[order])
 
 
-def compile_lexicon(words: list[bytes], vocabulary: Vocabulary, path: str) -> None:
-    """Writes the minimal transducer of distinct words to a file of arrays."""
+def compile_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
+    """The minimal transducer of distinct words, as a file of arrays."""
     words = sorted(words)
     register: dict[tuple, int] = {}
     edges: list[tuple[tuple[int, int], ...]] = []
@@ -333,18 +330,18 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary, path: str) -> No
         path_nodes[-1][1].append((last[len(path_nodes) - 1], done))
     root = settle(path_nodes[0])
     below = [0] * len(edges)
-    keys, to, out = [], [], []
+    keys, to, before = [], [], []
     for state, own in enumerate(edges):  # children come before their parents
         n = int(final[state])
         for byte, child in own:
             keys.append(state << 8 | byte)
             to.append(child)
-            out.append(n)
+            before.append(n)
             n += below[child]
         below[state] = n
     size = 1 << max(4, (3 * len(keys)).bit_length())
     slot_key, slot_to, slot_out = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
-    key, to_, out_ = np.array(keys, np.int64), np.array(to, np.int32), np.array(out, np.int32)
+    key, to_, out_ = np.array(keys, np.int64), np.array(to, np.int32), np.array(before, np.int32)
     at, left = (mix64(key.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64), np.arange(len(keys))
     while len(left):
         free = left[slot_key[at[left]] < 0]
@@ -358,10 +355,10 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary, path: str) -> No
     ids = [short[w] if len(w) < 64 else merge_long(vocabulary, w) for w in words]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     flat = np.array([y for x in ids for y in x], np.int32)
-    with open(path, "wb") as f:
-        np.array([root, size, len(edges), len(words), len(flat)], np.int64).tofile(f)
-        for a in (slot_key, slot_to, slot_out, np.array(final, np.int32), offsets, flat):
-            a.tofile(f)
+    out = io.BytesIO()
+    for a in (np.array([root, size, len(edges), len(words), len(flat)], np.int64), slot_key, slot_to, slot_out, np.array(final, np.int32), offsets, flat):
+        out.write(a.tobytes())
+    return out.getvalue()
 
 
 class Lexicon:
@@ -437,14 +434,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Encoded:
         w = self.splitter.words(texts)
-        keys = span_hashes(w.data, w.start, w.end) + (w.special + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        form, unique = pd.factorize(keys)
-        first = np.zeros(len(unique), np.int64)
-        first[form[::-1]] = np.arange(len(form))[::-1]
+        keys, special = span_hashes(w.data, w.start, w.end), w.special >= 0
+        if special.any():  # apart from the word with the same bytes
+            keys[special] = mix64(w.special[special].astype(np.uint64) | np.uint64(1 << 62))
+        form, first = forms(w.data, w.start, w.end, keys)
         start, end, special = w.start[first], w.end[first], w.special[first]
         number = np.where(special >= 0, -1, self.lexicon.find(w.data, start, end))
         known, offsets = number >= 0, self.lexicon.offsets
-        lengths = np.zeros(len(unique), np.int64)
+        lengths = np.zeros(len(first), np.int64)
         lengths[known] = (offsets[number[known] + 1] - offsets[number[known]]).astype(np.int64)
         data, rare = w.data.tobytes(), np.flatnonzero(~known)
         fresh = rare[special[rare] < 0]
@@ -482,38 +479,44 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
                 if not len(w.start):
                     continue
                 plain = w.special < 0
-                form, unique = pd.factorize(span_hashes(w.data, w.start[plain], w.end[plain]))
-                first = np.zeros(len(unique), np.int64)
-                first[form[::-1]] = np.flatnonzero(plain)[::-1]
-                lengths_ = (w.end - w.start)[first]
-                body = w.data[_ranges(w.start[first], lengths_)].tobytes()
+                start, end = w.start[plain], w.end[plain]
+                form, first = forms(w.data, start, end, span_hashes(w.data, start, end))
+                lengths_ = (end - start)[first]
+                body = w.data[_ranges(start[first], lengths_)].tobytes()
                 at = np.concatenate([[0], np.cumsum(lengths_)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body)]), pa.array(np.bincount(form, minlength=len(unique)).astype(np.int64))], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body)]), pa.array(np.bincount(form, minlength=len(first)).astype(np.int64))], ["word", "n"])
 
     text = docs[text_col].cast("string")
     return docs.select(text.alias("text"), F.octet_length(text).alias("bytes")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words of all texts, at most limit, and hands the file to the executors. Its name there.
+    """Compiles the most frequent words of all texts, limit of them, and hands the file to the executors. Its name there.
 
-    Words count as frequent from the least count that at most limit words reach; counts come from every text.
+    Counts come from every text; equally frequent words are chosen by a hash. Words of over LEXICON_BYTES stay out.
     """
-    from .common import cut
-
     spark = docs.sparkSession
-    counts = cut(count_words(docs, tokenizer_path, text_col))
-    levels = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fits = levels[levels["count"].cumsum() <= limit]
-    frequent = counts.where(F.col("n") >= int(fits["n"].min())).select("word").toArrow().column(0).to_pylist() if len(fits) else []
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
-    atexit.register(shutil.rmtree, folder, True)
+    counts = kept(count_words(docs, tokenizer_path, text_col).where(F.octet_length("word") <= LEXICON_BYTES))
+    frequent = most_frequent(counts, "n", F.xxhash64("word"), limit).select("word").toArrow().column(0).to_pylist()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon([bytes(w) for w in frequent], tables(tokenizer_path)[0], f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
+    path = f"{shared_dir(spark)}/{name}"
+    _put(spark, path, compile_lexicon([bytes(w) for w in frequent], tables(tokenizer_path)[0]))
+    spark.sparkContext.addFile(path)
     return name
 
 
+def _put(spark: SparkSession, path: str, body: bytes) -> None:
+    """Writes a file through Hadoop's file systems, to whatever store the shared folder is in."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for k in range(0, len(body), 1 << 20):
+            out.write(bytearray(body[k : k + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def encode_with(rows: DataFrame, lexicon: str, tokenizer_path: str, emit, schema: str) -> DataFrame:
     """mapInArrow over rows (key, text): emit(encoder, keys of the rows, encoded) gives a record batch for each slice of rows."""
 

@@ -1,11 +1,11 @@
 """Token ids in files of Simple-8b blocks.
 
 A file is a Parquet part whose rows are blocks; a block holds consecutive documents of one shard, shards and blocks in
-ascending order of doc_id. Of a block: start (the shard's ids before it), doc_ids, lengths (uint32 a document), words (uint64, each a
-4-bit selector above 60 bits that hold as many ids as the selector says), lanes (uint32: the first word of every run of
-LANE ids, so that a reader can start at any run), escapes (uint64 ids of over 60 bits, named by number in a word of their
-own) and n_ids. Both directions are vectorised: encoding steps through all lanes together, decoding handles all words of
-a selector at once.
+ascending order of doc_id. Of a block: start (the shard's ids before it), doc_ids, lengths (uint32 a document), words (uint64,
+each a 4-bit selector above 60 bits that hold as many ids as the selector says), lanes (uint32: the first word of every run of
+LANE ids, where a reader can start), escapes (uint64 ids of over 60 bits, named by number in a word of their own) and n_ids.
+Both directions are vectorised: encoding steps through all lanes together, decoding handles all words of a selector at once,
+and reads a block from lane to lane, so that no more than a run of documents is held decoded.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import build_lexicon, encode_with
-from .common import shared_dir, shuffle_width
+from .common import kept, shared_dir, shuffle_width
 
 # Ids in a word and bits of each, by selector; the last selector marks an escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 14
 LANE = 256
+#: Ids of a block, and of what is decoded at once, about; a document with more is a block of its own.
+BLOCK = 1 << 19
 _CLASS = np.array([int(np.searchsorted(BITS[:ESCAPE], max(1, x.bit_length()))) for x in range(1 << 16)], np.int8)
 SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, lengths binary, words binary, lanes binary, escapes binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -79,12 +81,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, np.searchsorted(place, np.arange(lanes) * LANE).astype(np.uint32), ids[large]
 
 
-def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The ids of pack()'s words."""
+def unpack(words: np.ndarray, lanes: np.ndarray, escapes: np.ndarray, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Of pack()'s n ids those from first to last, read from the lanes that hold them."""
+    last = n if last is None else last
+    if first >= last:
+        return np.zeros(0, np.uint64)
+    lane, end = first // LANE, -(-last // LANE)
+    words = words[lanes[lane] : lanes[end] if end < len(lanes) else len(words)]
+    skip, out = lane * LANE, np.zeros(min(end * LANE, n) - lane * LANE, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = COUNTS[selector]
     at = np.cumsum(counts) - counts
-    out = np.zeros(n, np.uint64)
     body = words & np.uint64((1 << 60) - 1)
     for s in np.unique(selector):
         k = np.flatnonzero(selector == s)
@@ -94,49 +101,67 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
         mask = np.uint64((1 << int(BITS[s])) - 1)
         for j in range(COUNTS[s]):
             out[at[k] + j] = body[k] >> np.uint64(j * BITS[s]) & mask
-    return out
+    return out[first - skip : last - skip]
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """k, ids (little-endian uint16 where the vocabulary fits, else uint32; the end id last) of every row."""
+    lexicon = build_lexicon(docs, tokenizer_path, text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
+
+    def emit(encoder, keys, e):
+        kind = _kind(max(len(encoder.vocabulary.tokens) - 1, end_id))
+        stream = np.insert(e.ids, e.offsets[1:], end_id).astype(kind)
+        at = (e.offsets + np.arange(len(e.offsets))) * stream.itemsize
+        body = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(stream.tobytes())])
+        return pa.RecordBatch.from_arrays([keys, body.cast(pa.binary())], ["k", "ids"])
+
+    return encode_with(rows, lexicon, tokenizer_path, emit, "k long, ids binary")
+
+
+def _kind(top: int) -> str:
+    return "<u2" if top < 1 << 16 else "<u4"
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every whole text, appends end_id to each document and writes the files in ascending order of doc_id.
 
     A null text counts as empty and has the end id alone. Rows without an id come first; rows that repeat an id stay, side
-    by side. An empty table writes no block. Shards divide the ids at their approximate quantiles; each is sorted by one
-    task, which notes every block's place in it. A block is at most a slice of text, or one document.
+    by side, ordered by a hash of their ids. An empty table writes no block. Shards are ranges of the sorted documents; what
+    is sorted are the ids, not the texts, and the range partitioner may part even the rows of one id. A block has about
+    BLOCK ids, or one document.
     """
-    shards = shards or 2 * shuffle_width(docs.sparkSession)
-    lexicon = build_lexicon(docs, tokenizer_path, text_col)
-    key = docs[id_col].cast("long")
-    bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", [k / shards for k in range(1, shards)], 10000)).first()[0] if shards > 1 else []
-    bounds = sorted(set(bounds or []))
-    text = docs[text_col].cast("string")
-    rows = docs.select(key.alias("k"), text.alias("text")).withColumn("shard", F.expr(f"int(if(k is null, 0, {_search(bounds, 0, len(bounds))}))"))
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("k").asc_nulls_first(), F.xxhash64("text"))
+    from .bpe import tables
 
-    def emit(encoder, keys, e):
-        shard, doc_ids = keys.field(0).to_numpy(zero_copy_only=False), keys.field(1)
-        edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-        out = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            lengths = np.diff(e.offsets[a : b + 1]) + 1
-            stream, last = np.empty(int(lengths.sum()), np.int64), np.cumsum(lengths) - 1
-            body = np.ones(len(stream), bool)
-            body[last] = False
-            stream[body], stream[last] = e.ids[e.offsets[a] : e.offsets[b]], end_id
-            words, lanes, escapes = pack(stream)
-            start = encoder.state.get(int(shard[a]), 0)
-            encoder.state = {int(shard[a]): start + len(stream)}  # shards come one after the other
-            out.append((int(shard[a]), start, len(stream), doc_ids.slice(a, b - a).to_pylist(), lengths.astype("<u4").tobytes(), words.astype("<u8").tobytes(), lanes.astype("<u4").tobytes(), escapes.astype("<u8").tobytes()))
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], NAMES)
+    spark = docs.sparkSession
+    kind = _kind(max(len(tables(tokenizer_path)[0].tokens) - 1, end_id))
+    rows = kept(encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("tie", F.xxhash64("ids")))
+    dealt = rows.repartitionByRange(shards or 2 * shuffle_width(spark), "k", "tie").sortWithinPartitions("k", "tie")
+
+    def run(batches):
+        start, held, size = 0, [], 0
 
-    encode_with(dealt.select(F.struct("shard", "k").alias("key"), "text"), lexicon, tokenizer_path, emit, SCHEMA).write.option("compression", "snappy").parquet(path)
+        def block():
+            nonlocal start
+            stream = np.frombuffer(b"".join([x for _, _, x in held]), kind)
+            lengths = np.array([len(x) for _, _, x in held], np.int64) // stream.itemsize
+            words, lanes, escapes = pack(stream)
+            own = [[held[0][0]], [start], [len(stream)], [[k for _, k, _ in held]], [lengths.astype("<u4").tobytes()], [words.astype("<u8").tobytes()], [lanes.astype("<u4").tobytes()], [escapes.astype("<u8").tobytes()]]
+            start += len(stream)
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types, strict=True)], NAMES)
 
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and size + len(row[2]) > BLOCK * np.dtype(kind).itemsize:
+                    yield block()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2])
+        if held:
+            yield block()
 
-def _search(bounds: list[int], a: int, b: int) -> str:
-    """SQL of how many of the sorted bounds are at most k."""
-    m = (a + b) // 2
-    return str(a) if a == b else f"if(k < {bounds[m]}L, {_search(bounds, a, m)}, {_search(bounds, m + 1, b)})"
+    dealt.select(F.spark_partition_id().alias("shard"), "k", "ids").mapInArrow(run, SCHEMA).write.option("compression", "snappy").parquet(path)
 
 
 def read(spark: SparkSession, path: str, payload: str = "ids") -> DataFrame:
@@ -151,15 +176,21 @@ def read(spark: SparkSession, path: str, payload: str = "ids") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start, doc_ids, lengths, words, escapes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = unpack(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8"), n)
+            for k in range(batch.num_rows):
+                start, doc_ids, lengths, words, lanes, escapes, n = (c[k].as_py() for c in batch.columns)
                 sizes = np.frombuffer(lengths, "<u4").astype(np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-                values = [zlib.crc32(x.astype("<u4").tobytes()) if payload == "crc32" else x.astype(np.int64) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + at[:-1]), pa.array(sizes), pa.array(values, kind)], ["doc_id", "start", "n_tokens", name])
-
-    placed = blocks.join(F.broadcast(starts), "shard").select((F.col("shard_start") + F.col("start")).alias("start"), "doc_ids", "lengths", "words", "escapes", "n_ids")
+                words, lanes, escapes = np.frombuffer(words, "<u8"), np.frombuffer(lanes, "<u4"), np.frombuffer(escapes, "<u8")
+                a = 0
+                while a < len(sizes):
+                    b = max(a + 1, int(np.searchsorted(at, at[a] + BLOCK // 4, "right")) - 1)
+                    ids = unpack(words, lanes, escapes, n, int(at[a]), int(at[b]))
+                    parts = [ids[x - at[a] : y - at[a]] for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)]
+                    values = [zlib.crc32(x.astype("<u4").tobytes()) if payload == "crc32" else x.astype(np.int64) for x in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(start + at[a:b]), pa.array(sizes[a:b]), pa.array(values, kind)], ["doc_id", "start", "n_tokens", name])
+                    a = b
+
+    placed = blocks.join(F.broadcast(starts), "shard").select((F.col("shard_start") + F.col("start")).alias("start"), "doc_ids", "lengths", "words", "lanes", "escapes", "n_ids")
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} " + ("long" if payload == "crc32" else "array<long>"))
 
 
