@@ -474,7 +474,7 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         splitter = Splitter(tables(tokenizer_path)[0])
         for batch in batches:
             lengths = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(np.concatenate([[0], np.cumsum(lengths)])):
+            for a, b in slices(np.concatenate([[0], np.cumsum(lengths)]), 4 << 20):
                 w = splitter.words([x or "" for x in batch.column(0).slice(a, b - a).to_pylist()])
                 if not len(w.start):
                     continue

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import build_lexicon, encode_with
-from .common import kept, shared_dir, shuffle_width
+from .common import shared_dir, shuffle_width, span_hashes
 
 # Ids in a word and bits of each, by selector; the last selector marks an escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -28,6 +28,8 @@ ESCAPE = 14
 LANE = 256
 #: Ids of a block, and of what is decoded at once, about; a document with more is a block of its own.
 BLOCK = 1 << 19
+#: Quantiles of the ids that are asked for, at most.
+QUANTILES = 4096
 _CLASS = np.array([int(np.searchsorted(BITS[:ESCAPE], max(1, x.bit_length()))) for x in range(1 << 16)], np.int8)
 SCHEMA = "shard int, start long, n_ids long, doc_ids array<long>, lengths binary, words binary, lanes binary, escapes binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -104,19 +106,45 @@ def unpack(words: np.ndarray, lanes: np.ndarray, escapes: np.ndarray, n: int, fi
     return out[first - skip : last - skip]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """k, ids (little-endian uint16 where the vocabulary fits, else uint32; the end id last) of every row."""
+def _bounds(keys: DataFrame, shards: int) -> tuple[np.ndarray, int]:
+    """Lower ends of the shards but the first, by approximate quantiles of k, and how many shards come before them for rows
+    without an id. A frequent id is the lower end of several."""
+    none, total = keys.agg(F.sum(F.col("k").isNull().cast("long")), F.count(F.lit(1))).first()
+    before = -(-shards * (none or 0) // max(total, 1))
+    rest = max(shards - before, 1)
+    points = min(rest, QUANTILES)
+    found = keys.agg(F.percentile_approx("k", [j / points for j in range(1, points)], 10000)).first()[0] if points > 1 else []
+    bounds = np.array(sorted(found or []), np.int64)
+    if rest > points and len(bounds) > 1:  # between quantiles by the ids' values
+        bounds = np.interp(np.linspace(0, len(bounds) - 1, rest - 1), np.arange(len(bounds)), bounds).astype(np.int64)
+    return bounds, before
+
+
+def _shard(keys: pa.Array, salt: np.ndarray, bounds: np.ndarray, before: int) -> np.ndarray:
+    """Each row's shard: that of its id; rows without an id, and of an id that several shards have, are dealt by salt."""
+    k = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = (before + np.searchsorted(bounds, k, side) for side in ("left", "right"))
+    low = np.minimum(low + 1, high)  # the shard before the first equal bound ends below it
+    none = keys.is_null().to_numpy(zero_copy_only=False)
+    low, high = np.where(none, 0, low), np.where(none, max(before - 1, 0), high)
+    return low + salt % (high - low + 1)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """shard, k, ids (little-endian uint16 where the vocabulary fits, else uint32; the end id last) of every row."""
     lexicon = build_lexicon(docs, tokenizer_path, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
+    bounds, before = _bounds(rows.select(F.col("key").alias("k")), shards)
 
     def emit(encoder, keys, e):
         kind = _kind(max(len(encoder.vocabulary.tokens) - 1, end_id))
         stream = np.insert(e.ids, e.offsets[1:], end_id).astype(kind)
         at = (e.offsets + np.arange(len(e.offsets))) * stream.itemsize
         body = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(stream.tobytes())])
-        return pa.RecordBatch.from_arrays([keys, body.cast(pa.binary())], ["k", "ids"])
+        salt = span_hashes(stream.view(np.uint8), at[:-1], at[1:]).astype(np.int64) & 0x7FFFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(_shard(keys, salt, bounds, before).astype(np.int32)), keys, body.cast(pa.binary())], ["shard", "k", "ids"])
 
-    return encode_with(rows, lexicon, tokenizer_path, emit, "k long, ids binary")
+    return encode_with(rows, lexicon, tokenizer_path, emit, "shard int, k long, ids binary")
 
 
 def _kind(top: int) -> str:
@@ -127,16 +155,15 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
     """Encodes every whole text, appends end_id to each document and writes the files in ascending order of doc_id.
 
     A null text counts as empty and has the end id alone. Rows without an id come first; rows that repeat an id stay, side
-    by side, ordered by a hash of their ids. An empty table writes no block. Shards are ranges of the sorted documents; what
-    is sorted are the ids, not the texts, and the range partitioner may part even the rows of one id. A block has about
+    by side. An empty table writes no block. Shards are ranges of doc_id, by quantiles; what is dealt and sorted are the ids,
+    not the texts, and even the rows of one id or of none are dealt to several shards where they are many. A block has about
     BLOCK ids, or one document.
     """
     from .bpe import tables
 
-    spark = docs.sparkSession
     kind = _kind(max(len(tables(tokenizer_path)[0].tokens) - 1, end_id))
-    rows = kept(encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("tie", F.xxhash64("ids")))
-    dealt = rows.repartitionByRange(shards or 2 * shuffle_width(spark), "k", "tie").sortWithinPartitions("k", "tie")
+    shards = shards or 2 * shuffle_width(docs.sparkSession)
+    dealt = encoded(docs, tokenizer_path, end_id, shards, id_col, text_col).repartition(shards, "shard").sortWithinPartitions("shard", "k")
 
     def run(batches):
         start, held, size = 0, [], 0
@@ -153,15 +180,16 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size + len(row[2]) > BLOCK * np.dtype(kind).itemsize:
+                if held and (row[0] != held[0][0] or size + len(row[2]) > BLOCK * np.dtype(kind).itemsize):
                     yield block()
+                    start = start if row[0] == held[0][0] else 0
                     held, size = [], 0
                 held.append(row)
                 size += len(row[2])
         if held:
             yield block()
 
-    dealt.select(F.spark_partition_id().alias("shard"), "k", "ids").mapInArrow(run, SCHEMA).write.option("compression", "snappy").parquet(path)
+    dealt.mapInArrow(run, SCHEMA).write.option("compression", "snappy").parquet(path)
 
 
 def read(spark: SparkSession, path: str, payload: str = "ids") -> DataFrame:
