@@ -21,27 +21,30 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1024, tracked: int = 8192) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1024, tracked: int = 8192, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row_col if it is given.
 
     Of equal texts, the row with the most code points in the original text stays, then that with the smallest id.
     A null or empty text, or one of white space alone, is the empty text, so all of these are one group. Rows that repeat
-    an id and text share one decision and each count in group_size. A null id loses ties against any other id. An empty
-    table gives no rows; other columns are not read. heavy bounds the broadcast, tracked the summary; neither alters results.
+    an id and text share one decision and each count in group_size; with row_col, a column that tells rows apart, only the
+    row stays that is least in it. A null id loses ties against any other id. An empty table gives no rows; other columns
+    are not read. heavy bounds the broadcast, tracked the summary; neither alters results.
     """
     text = text_of(docs, text_col)
-    rows = cut(docs.select(docs[id_col].alias("doc_id"), F.char_length(text).alias("n"), F.sha2(normalised(text).cast("binary"), 256).alias("digest")))
-    order = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"))
+    row = docs[row_col] if row_col else F.lit(0)
+    rows = cut(docs.select(docs[id_col].alias("doc_id"), row.alias("row"), F.char_length(text).alias("n"), F.sha2(normalised(text).cast("binary"), 256).alias("digest")))
+    order = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     summary = rows.agg(F.expr(f"approx_top_k(digest, {heavy}, {tracked})").alias("top"))
     often = summary.select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("digest"))
     winners = rows.join(F.broadcast(often), "digest", "left_semi").groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
     winners = cut(winners)  # partial summaries merge in any order, so the candidates are settled here, once
-    of_large = rows.join(F.broadcast(winners), "digest").select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), "digest")
+    decided = ["doc_id", "row", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("size").alias("group_size"), "digest"]
+    of_large = rows.join(F.broadcast(winners), "digest").select(*decided)
     group = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(winners), "digest", "left_anti").withColumns({"first": F.min(order).over(group), "size": F.count(F.lit(1)).over(group)})
-    of_rest = rest.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), "digest")
-    both = of_large.unionByName(of_rest)
-    return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    both = of_large.unionByName(rest.select(*decided))
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
+    return both.select("doc_id", "keep_id", "group_size", own.alias("kept"), F.col("digest").alias("text_sha256"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 SQL = r"""

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_bucket, raw, slices
+from .common import crc_bucket, free_name, raw, slices
 
 UNDETERMINED = "und"
 _VOTES = np.zeros(256, bool)
@@ -23,16 +24,17 @@ _VOTES[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass
 class Settings:
-    """hidden units of each direction, bytes of a window, sampled texts of a language, windows of a text, training steps."""
+    """hidden units of each direction, bytes of a window, sampled texts of a language (fewer where there are many languages,
+    so that about so many texts are sampled in all, but 8 at least), windows of a text, training steps."""
 
     hidden: int = 8
     window: int = 64
     texts: int = 300
+    sampled: int = 38400
     windows: int = 4
     steps: int = 260
     batch: int = 128
     rate: float = 0.02
-    languages: int = 64
 
 
 class Network:
@@ -149,15 +151,21 @@ def train(windows: list[bytes], labels: list[str], settings: Settings) -> Networ
 
 
 def sample(docs: DataFrame, learn: Column, settings: Settings, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """Windows and labels of at most settings.texts texts a language, the first by a hash of their id, and of at most
-    settings.languages languages, the most frequent. Only windows travel; the limit holds before the shuffle as well."""
-    text, h = docs[text_col].cast("string"), F.xxhash64(docs[id_col], F.lit(1))
+    """Windows and labels of at most settings.texts texts of each language, the first by a hash. Only windows travel, and
+    only of the texts whose hash is below a language's threshold, about four times as many as are taken."""
+    text = docs[text_col].cast("string")
+    h = F.xxhash64(docs[id_col], text, F.lit(1))
     places = [F.pmod(F.shiftright(h, 8 * k), F.greatest(F.char_length(text) - settings.window, F.lit(1))) + 1 for k in range(settings.windows)]
     cut_out = F.array(*(F.substring(text, p.cast("int"), F.lit(settings.window)) for p in places))
     rows = docs.where(learn & docs[lang_col].isNotNull() & F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).select(docs[lang_col].cast("string").alias("lang"), h.alias("h"), cut_out.alias("windows"))
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return [], []
+    texts = max(8, min(settings.texts, settings.sampled // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 40, (4 * texts << 40) // r["count"])) for r in counts], "lang string, share long")
+    few = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 40)) <= F.col("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "windows"))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()]
-    found = rows.where(F.col("lang").isin(frequent)).withColumn("rank", rank).where(F.col("rank") <= settings.texts).orderBy("lang", "rank").collect()
+    found = few.withColumn("rank", rank).where(F.col("rank") <= texts).orderBy("lang", "rank").collect()
     pairs = [(w.encode(), r["lang"]) for r in found for w in dict.fromkeys(r["windows"])]
     return [w for w, _ in pairs], [x for _, x in pairs]
 
@@ -170,28 +178,38 @@ def identify(docs: DataFrame, held_out: Column | None = None, settings: Settings
     A null label teaches nothing; repeated rows are predicted alike; an empty table gives no rows. Of the other columns
     only these three are read, and neither label nor id is an input of a prediction.
     """
+    held_out = _held_out(docs, held_out, id_col)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    return label(rows, F.col("held_out"), settings, "doc_id", "text", "lang", ["doc_id", "held_out"])
+
+
+def _held_out(docs: DataFrame, held_out: Column | None, id_col: str) -> Column:
+    return F.coalesce(crc_bucket(docs[id_col], 3) == 1 if held_out is None else held_out, F.lit(False))
+
+
+def label(docs: DataFrame, held_out: Column | None = None, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """Every row of docs, with its columns (or those named) and two more at the end: identify()'s lang_pred and score, with
+    underscores before names that docs has."""
+    columns = docs.columns if columns is None else columns
     settings = settings or Settings()
-    if held_out is None:
-        held_out = crc_bucket(docs[id_col], 3) == 1
-    held_out = F.coalesce(held_out, F.lit(False))
-    windows, labels = sample(docs, ~held_out, settings, id_col, text_col, lang_col)
+    windows, labels = sample(docs, ~_held_out(docs, held_out, id_col), settings, id_col, text_col, lang_col)
     net = train(windows, labels, settings) if windows else None
-    text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    text, names = docs[text_col].cast("string"), [free_name(columns, x) for x in ("lang_pred", "score")]
+    rows = docs.select(text.alias(free_name(columns, "_text")), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(free_name(columns, "_letters")), *(docs[c] for c in columns))
 
     def run(batches):
         for batch in batches:
-            lettered = batch.column(3).to_numpy(zero_copy_only=False)
-            data, offsets = raw(batch.column(2))
+            lettered = batch.column(1).to_numpy(zero_copy_only=False)
+            data, offsets = raw(batch.column(0))
             for a, b in slices(offsets, 1 << 20):
                 p = pooled(net, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if net else None
                 known = lettered[a:b] & (p.sum(1) > 0 if net else False)
                 best = p.argmax(1) if net else np.zeros(b - a, np.int64)
-                names = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), known.tolist(), strict=True)] if net else [UNDETERMINED] * (b - a)
+                found = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), known.tolist(), strict=True)] if net else [UNDETERMINED] * (b - a)
                 score = np.where(known, np.minimum(p.max(1), 1.0), 0.0) if net else np.zeros(b - a)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[2:]), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[2:], *names])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[2:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = 64, block: int = 2048) -> np.ndarray:

@@ -1,16 +1,19 @@
 """Documents whose word n-gram sets have a high Jaccard similarity, joined exactly by T-occurrence search.
 
-1. Each document's set of n-grams is hashed; equal sets become one class, which its smallest id represents.
+1. Each row's set of n-grams is hashed. Rows of a chunk (what a map task holds at once) with equal sets are one class, which
+   its first row represents.
 2. Classes that could be similar are brought together without a loss: two sets of sizes a <= b with similarity s differ in
    at most a * (1 - s) / s n-grams, so, dealt by hash into one part more than that, some part is equal in both. Sizes fall
    into bands such that linked sets lie in one band or in neighbours; a class signs every part at its own band's and the
-   lower band's number of parts. A map task joins equal signatures itself and sends one row for each on. Common words and
-   shared passages bring nothing together here: a whole random part of the set must agree.
-3. Classes connected by signatures form a block. In cells of bounded size, DivideSkip finds each class's partners: of its
-   inverted lists the short ones are merged, candidates that occur often enough are probed in the long ones by binary
-   search, and who reaches the overlap is linked. A block of several cells has its first class in every cell; only classes
-   outside the block's largest component then meet the block's other cells.
-4. Links give components; every row gets its class's.
+   lower band's number of parts. A map task joins equal signatures itself and sends one of each on, packed: a row a bucket,
+   with 5 bytes a signature and 2 for its class's place in the chunk. Common words and shared passages bring nothing
+   together here: a whole random part of the set must agree.
+3. Classes connected by signatures form a block, cut into cells of bounded size. In a cell DivideSkip finds each set's
+   partners: of its inverted lists the short ones are merged, candidates that occur often enough are probed in the long ones
+   by binary search (or these are merged too, where that is less work), and who reaches the overlap is linked.
+4. For the number of links every two cells of a block meet. For components alone a block's first class is in each of its
+   cells, and only classes outside the block's largest component then meet its other cells.
+5. Links give components; every row gets its class's.
 """
 
 from __future__ import annotations
@@ -21,10 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept, mix64, raw, slices, words
+from .common import cut, kept, lookup, mix64, numbered, raw, shuffle_width, slices, words
 
 #: N-grams that a cell of a block holds, about; a class with more makes a cell of its own.
-CELL = 1 << 21
+CELL = 1 << 19
+#: Signatures, and rows, of a chunk; bytes of text for which there is a bucket of signatures.
+CHUNK, CHUNK_ROWS, BUCKET = 1 << 21, 1 << 16, 64 << 20
+#: Classes to look at that are broadcast; more are joined by a shuffle, for which a Bloom filter spares other texts.
+FEW = 1 << 18
+SIGNED = "kind int, a long, b long, c long, d long, e long, w long, x binary, y binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,52 +111,128 @@ def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tu
     return np.concatenate(out), np.concatenate(of)
 
 
-def _sign(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows of three kinds: 0 a row's class (a: id, b: class, c: set size), 1 a class's signature (a: signature, b: class),
-    2 a link to look into (a, b: classes)."""
-
-    def table(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
-        filled = [*cols, *[np.zeros(len(cols[0]), np.int64)] * (3 - len(cols))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(c) if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in filled)], ["kind", "a", "b", "c"])
-
-    def joined(signatures: list[np.ndarray], classes: list[np.ndarray]):
-        sig, of = np.concatenate(signatures), np.concatenate(classes)
-        order = np.lexsort((of, sig))
-        sig, of = sig[order], of[order]
-        first = np.append(True, sig[1:] != sig[:-1])
-        leader = of[np.flatnonzero(first)][np.cumsum(first) - 1]
+class _Chunk:
+    """Rows of a map task whose classes and signatures are joined before they leave it."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.base, self.held = buckets, None, 0
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.signatures: list[np.ndarray] = []
+        self.of: list[np.ndarray] = []
+        self.seen = np.zeros(0, np.int64)
+
+    def add(self, rid: np.ndarray, ids: pa.Array, gram: np.ndarray, at: np.ndarray, num: int, den: int) -> None:
+        size = np.diff(at)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(gram), dtype=np.uint64)])
+        digest = mix64((sums[at[1:]] - sums[at[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40))).view(np.int64)
+        self.base = int(rid[0]) if self.base is None else self.base
+        self.rows.append((rid, size, digest, ids))
+        _, one = np.unique(digest, return_index=True)
+        new = np.sort(one[(size[one] > 0) & ~np.isin(digest[one], self.seen)])
+        self.seen = np.concatenate([self.seen, digest[new]])
+        if len(new):
+            pick = np.concatenate([np.arange(at[k], at[k + 1]) for k in new])
+            sig, of = _signatures(gram[pick], np.concatenate([[0], np.cumsum(size[new])]), num, den)
+            self.signatures.append(sig)
+            self.of.append(rid[new][of] - self.base)
+            self.held += len(sig)
+
+    def out(self):
+        rid, size, digest = (np.concatenate([x[k] for x in self.rows]) for k in range(3))
+        form, _ = pd.factorize(digest)
+        first = np.zeros(form.max(initial=-1) + 1, np.int64)
+        first[form[::-1]] = np.arange(len(form))[::-1]
+        rep = np.where(size > 0, rid[first[form]], rid)
+        weight = np.where(size > 0, np.bincount(form, minlength=len(first))[form], 1)
+        yield self._batch(0, rid, rep, size, digest, pa.concat_arrays([x[3] for x in self.rows]), weight)
+        if not self.held:
+            return
+        sig, of = np.concatenate(self.signatures), np.concatenate(self.of)
+        bucket = (sig >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        key = bucket << np.uint64(40) | sig & np.uint64((1 << 40) - 1)
+        order = np.lexsort((of, key))
+        key, of = key[order], of[order]
+        new = np.append(True, key[1:] != key[:-1])
+        leader = of[new][np.cumsum(new) - 1]
         pairs = np.unique(np.stack([of[of != leader], leader[of != leader]], 1), axis=0)
-        own = np.argsort(of[first], kind="stable")  # a class's rows side by side, which files and shuffles compress
-        yield table(1, sig[first][own].view(np.int64), of[first][own])
         if len(pairs):
-            yield table(2, pairs[:, 0], pairs[:, 1])
+            yield self._batch(2, pairs[:, 0] + self.base, pairs[:, 1] + self.base)
+        key, of = key[new], of[new]
+        low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<u2")
+        edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
+        own = key[edge[:-1]] >> np.uint64(40)
+        x = pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+        y = pa.array([of[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+        yield self._batch(1, own.astype(np.int64), np.full(len(own), self.base), x=x, y=y)
+
+    @staticmethod
+    def _batch(kind: int, *cols, x: pa.Array | None = None, y: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(cols[0])
+        longs = [c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in cols] + [pa.nulls(n, pa.int64())] * (6 - len(cols))
+        none = pa.nulls(n, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, none if x is None else x, none if y is None else y], [f.split()[0] for f in SIGNED.split(", ")])
+
+
+def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """rows: rid, id, text. Rows of three kinds: 0 a row (a: rid, b: its class, c: set size, d: the set's digest, e: id, w:
+    rows of the class in the chunk), 1 signatures (a: bucket, b: first rid of the chunk, x, y), 2 a link to look into (a, b)."""
 
     def run(batches):
-        signatures, classes, held = [], [], 0
+        chunk = _Chunk(buckets)
         for batch in batches:
-            data, offsets = raw(batch.column(1))
+            rids = batch.column(0).to_numpy()
+            data, offsets = raw(batch.column(2))
             for a, b in slices(offsets):
-                gram, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                size = np.diff(at)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(gram), dtype=np.uint64)])
-                node = mix64((sums[at[1:]] - sums[at[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(node), pa.array(size)], ["kind", "a", "b", "c"])
-                _, one = np.unique(node, return_index=True)
-                keep = np.sort(one[size[one] > 0])
-                if not len(keep):
-                    continue
-                pick = np.concatenate([np.arange(at[k], at[k + 1]) for k in keep])
-                sig, of = _signatures(gram[pick], np.concatenate([[0], np.cumsum(size[keep])]), num, den)
-                signatures.append(sig)
-                classes.append(node[keep][of])
-                held += len(sig)
-                if held > 1 << 21:
-                    yield from joined(signatures, classes)
-                    signatures, classes, held = [], [], 0
+                while a < b:
+                    if chunk.base is not None and (chunk.held > CHUNK or not chunk.base <= rids[a] < chunk.base + CHUNK_ROWS):
+                        yield from chunk.out()
+                        chunk = _Chunk(buckets)
+                    base = rids[a] if chunk.base is None else chunk.base
+                    far = (rids[a:b] < base) | (rids[a:b] >= base + CHUNK_ROWS)  # rids ascend within a file, files may not
+                    to = a + int(far.argmax()) if far.any() else b
+                    gram, at = shingles(data[offsets[a] : offsets[to]], offsets[a : to + 1] - offsets[a], n)
+                    chunk.add(rids[a:to], batch.column(1).slice(a, to - a), gram, at, num, den)
+                    a = to
+        if chunk.base is not None:
+            yield from chunk.out()
+
+    return rows.select("rid", "id", "text").mapInArrow(run, SIGNED)
+
+
+def _meet(signed: DataFrame) -> DataFrame:
+    """a, b: classes that share a signature, each with the least class of the signature."""
+
+    def run(batches):
+        bucket, held = None, []
+
+        def finish():
+            value = np.concatenate([np.frombuffer(x, "<u4", len(y) // 2).astype(np.uint64) | np.frombuffer(x, np.uint8, len(y) // 2, 2 * len(y)).astype(np.uint64) << np.uint64(32) for _, x, y in held])
+            rid = np.concatenate([base + np.frombuffer(y, "<u2").astype(np.int64) for base, _, y in held])
+            order = np.argsort(value, kind="stable")
+            value = value[order]
+            again = np.append(False, value[1:] == value[:-1])
+            again[:-1] |= again[1:]
+            value, rid = value[again], rid[order][again]
+            if not len(value):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            leader = np.repeat(np.minimum.reduceat(rid, start), np.diff(np.append(start, len(rid))))
+            pairs = pd.DataFrame({"a": rid, "b": leader})[rid != leader].drop_duplicates()
+            return pa.RecordBatch.from_arrays([pa.array(pairs["a"].to_numpy()), pa.array(pairs["b"].to_numpy())], ["a", "b"])
+
+        for batch in batches:
+            for own, base, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket:
+                    if held:
+                        yield finish()
+                    bucket, held = own, []
+                held.append((base, x, y))
         if held:
-            yield from joined(signatures, classes)
+            yield finish()
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long")
+    packed = signed.where("kind = 1").select(F.col("a").alias("bucket"), "b", "x", "y")
+    dealt = packed.repartition(shuffle_width(signed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "a long, b long").union(signed.where("kind = 2").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,11 +253,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int, same: np.ndarray) -> list[tuple[int, int]]:
-    """Links (positions) that connect all linked sets (sorted distinct hashes) beyond what the labels in same connect already.
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... length[0] of them, then those from start[1], and so on."""
+    total = np.cumsum(length)
+    return np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+
 
-    A set looks for partners of its size or larger. Partners already connected with it are left out, so that of a dense
-    group only a tree of links is counted through.
+def divide_skip(sets: list[np.ndarray], num: int, den: int, same: np.ndarray, weight: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (positions) that connect all linked sets (sorted distinct hashes) beyond what the labels in same connect already,
+    and, if weight is given, the weight of all sets that each is linked with.
+
+    A set looks for partners of its size or larger, with part only for those of another part. Without weights, partners that
+    are already connected with it are left out, so that of a dense group only a tree of links is counted through.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     sizes = np.array([len(sets[k]) for k in order], np.int64)
@@ -183,155 +274,236 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, same: np.ndarray) ->
     key = np.sort(element.astype(np.int64) * n + np.repeat(np.arange(n), sizes))  # inverted lists, one after the other
     lists, member = key // n, key % n
     start = np.searchsorted(lists, np.arange(element.max(initial=-1) + 2))
-    parent = np.arange(n)
-    root_of: dict[int, int] = {}
-    for k in range(n):
-        parent[k] = root_of.setdefault(int(same[order[k]]), k)
+    parent = pd.factorize(same[order])[0]
+    linked = np.zeros(n, np.int64)
+    own_weight = None if weight is None else weight[order]
+    own_part = None if part is None else part[order]
     links = []
     for r in range(n):
         size = int(sizes[r])
         to = int(np.searchsorted(sizes, size * den // num, "right"))
-        if to <= r + 1 or (parent[r + 1 : to] == parent[r]).all():
+        if to <= r + 1 or (weight is None and (parent[r + 1 : to] == parent[r]).all()):
             continue
         own = element[begin[r] : begin[r + 1]]
         length = start[own + 1] - start[own]
+        own, length = own[length > 1], length[length > 1]
         need = -(-2 * num * size // (num + den))
-        longest = max(int(length.max()), 2)
-        n_long = min(int(need / (0.0085 * np.log2(longest) + 1)), need - 1)
+        if len(own) < need:
+            continue
+        n_long = min(int(need / (0.0085 * np.log2(max(int(length.max()), 2)) + 1)), need - 1)
         by_length = np.argsort(length, kind="stable")
-        short, long = own[by_length[: size - n_long]], own[by_length[size - n_long :]]
-        merged = np.concatenate([member[start[x] : start[x + 1]] for x in short])
-        times = np.bincount(merged, minlength=n)
-        candidates = np.flatnonzero(times >= need - n_long)
-        candidates = candidates[(candidates > r) & (candidates < to)]
-        while len(candidates := candidates[parent[candidates] != parent[r]]):
-            _, one = np.unique(parent[candidates], return_index=True)  # one of each component at a time
-            tried = candidates[one]
-            found = times[tried]
-            if len(long):
-                probe = long[:, None] * n + tried[None, :]
-                at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
-                found = found + (key[at] == probe).sum(0)
-            for k in tried[found * (num + den) >= num * (size + sizes[tried])]:
+        own, length = own[by_length], length[by_length]
+        short, long = own[: len(own) - n_long], own[len(own) - n_long :]
+        times, candidates = _merged(member, start, short, length[: len(short)], n)
+        candidates = candidates[(times[candidates] >= need - n_long) & (candidates > r) & (candidates < to)]
+        if own_part is not None:
+            candidates = candidates[own_part[candidates] != own_part[r]]
+        if weight is None:
+            candidates = candidates[parent[candidates] != parent[r]]
+        if not len(candidates):
+            continue
+        found = times[candidates]
+        if len(long) * len(candidates) * 32 < int(length[len(short) :].sum()):
+            probe = long[:, None] * n + candidates[None, :]
+            at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
+            found = found + (key[at] == probe).sum(0)
+        elif len(long):
+            found = found + _merged(member, start, long, length[len(short) :], n)[0][candidates]
+        partners = candidates[found * (num + den) >= num * (size + sizes[candidates])]
+        if weight is not None:
+            linked[r] += own_weight[partners].sum()
+            linked[partners] += own_weight[r]
+        for k in partners[parent[partners] != parent[r]].tolist():
+            if parent[k] != parent[r]:
                 links.append((int(order[r]), int(order[k])))
                 parent[parent == parent[k]] = parent[r]
-            candidates = np.delete(candidates, one)
-    return links
+    out = np.zeros(n, np.int64)
+    out[order] = linked
+    return links, out
+
+
+def _merged(member: np.ndarray, start: np.ndarray, lists: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each set occurs in the sorted lists (as an array of n), and the sets that do."""
+    all_ = member[_ranges(start[lists], length)]
+    if len(all_) * 4 > n:
+        times = np.bincount(all_, minlength=n)
+        return times, np.flatnonzero(times)
+    all_ = np.sort(all_, kind="stable")  # merges the sorted runs
+    first = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
+    times = np.zeros(n, np.int64)
+    times[all_[first]] = np.diff(np.append(first, len(all_)))
+    return times, all_[first]
 
 
-def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b of classes within every cell; cells has cell, node, same (label of what is connected) and grams."""
+def _search(cells: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """Links a, b of classes within every cell (root, lo, hi); with count also rows without b: w rows are linked with a's.
+
+    cells has root, lo, hi, part, rid, same (label of what is connected), weight and grams. Where lo and hi differ, only
+    classes of different parts meet.
+    """
 
     def run(batches):
-        held, cell = [], None
+        held, cell = {}, None
 
         def finish():
-            sets = [np.frombuffer(x[2], np.uint64) for x in held]
-            pairs = divide_skip(sets, num, den, np.array([x[1] for x in held], np.int64)) if len(held) > 1 else []
-            nodes = [x[0] for x in held]
-            return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k, _ in pairs], pa.int64()), pa.array([nodes[k] for _, k in pairs], pa.int64())], ["a", "b"])
+            sets = [np.frombuffer(x, np.uint64) for x in held]
+            own = list(held.values())
+            a, b, w = [], [], []
+            cross = cell[1] != cell[2]
+            total = np.array([sum(x[2] for x in members) for members in own], np.int64)
+            for members in own:
+                for x in members[1:]:
+                    a.append(members[0][0])
+                    b.append(x[0])
+            linked = np.zeros(len(own), np.int64)
+            if len(own) > 1:
+                links, linked = divide_skip(sets, num, den, np.array([x[0][1] for x in own], np.int64), total if count else None, np.array([x[0][3] for x in own]) if cross else None)
+                a += [own[k][0][0] for k, _ in links]
+                b += [own[k][0][0] for _, k in links]
+            w += [None] * len(a)
+            if count:
+                for members, n, more in zip(own, linked.tolist(), total.tolist(), strict=True):
+                    a += [x[0] for x in members]
+                    b += [None] * len(members)
+                    w += [n if cross else n + more - 1] * len(members)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], ["a", "b", "w"])
 
         for batch in batches:
-            for c, node, same, grams in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c != cell:
+            for root, lo, hi, part, rid, same, weight, grams in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (root, lo, hi) != cell:
                     if held:
                         yield finish()
-                    held, cell = [], c
-                if not held or held[-1][0] != node:
-                    held.append((node, same, grams))
+                    held, cell = {}, (root, lo, hi)
+                held.setdefault(grams, []).append((rid, same, weight, part))
         if held:
             yield finish()
 
-    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(width, "cell").sortWithinPartitions("cell", "node").select("cell", "node", "same", "grams").mapInArrow(run, "a long, b long")
+    dealt = cells.repartition(shuffle_width(cells.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "rid")
+    return dealt.select("root", "lo", "hi", "part", "rid", "same", "weight", "grams").mapInArrow(run, "a long, b long, w long")
 
 
-def _grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id, grams (binary) of the rows whose id wanted has. A Bloom filter of fixed size spares the other texts the shuffle."""
-    spark, bits = docs.sparkSession, 1 << 23
-    positions = wanted.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(3)))).alias("p"))
-    ones = positions.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p & 31)))").alias("v")).toPandas()
-    filled = np.zeros(bits // 32, np.int64)
-    filled[ones["w"].to_numpy()] = ones["v"].to_numpy()
-    shared = spark.sparkContext.broadcast(filled)
+def _with_grams(rows: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """placed (by rid) with each set's grams (binary), computed from the texts anew."""
+    columns = [f for f in placed.schema.fields if f.name != "rid"]
 
     def run(batches):
-        bloom = shared.value
         for batch in batches:
-            spots = np.stack([batch.column(k).to_numpy() for k in (2, 3, 4)])
-            hit = ((bloom[spots >> 5] >> (spots & 31)) & 1).all(0)
-            few = batch.filter(pa.array(hit))
-            data, offsets = raw(few.column(1))
+            data, offsets = raw(batch.column(1))
             for a, b in slices(offsets):
                 gram, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 body = [gram[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([few.column(0).slice(a, b - a), pa.array(body, pa.binary())], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[2:]), pa.array(body, pa.binary())], ["rid", *batch.schema.names[2:], "grams"])
+
+    wanted = placed.count()
+    if wanted <= FEW:
+        own = rows.select("rid", "text").join(F.broadcast(placed), "rid").select("rid", "text", *(f.name for f in columns))
+        return own.mapInArrow(run, ", ".join(["rid long", *(f"{f.name} {f.dataType.simpleString()}" for f in columns), "grams binary"]))
+    return _passing(rows, placed, wanted).select("rid", "text").mapInArrow(run, "rid long, grams binary").join(placed, "rid")
+
+
+def _passing(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows that a Bloom filter of wanted's rid lets pass: all wanted and few others. It has 16 bits a rid up to 2**27 bits;
+    beyond, it lets more pass, which costs shuffle alone."""
+    bits = 1 << min(27, max(16, (16 * n - 1).bit_length()))
+    spots = [F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(bits)) for k in range(3)]
+    ones = wanted.select(F.explode(F.array(*spots)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p & 31)))").alias("v")).toPandas()
+    filled = np.zeros(bits // 32, np.uint32)
+    filled[ones["w"].to_numpy()] = ones["v"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(filled)
 
-    hashed = docs.select("id", "text", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in range(3)))
-    return hashed.mapInArrow(run, "id long, grams binary").join(wanted, "id")
+    def run(batches):
+        bloom = shared.value
+        for batch in batches:
+            at = np.stack([batch.column(k).to_numpy() for k in (2, 3, 4)])
+            hit = ((bloom[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)
+            yield batch.filter(pa.array(hit)).select([0, 1])
+
+    return rows.select("rid", "text", *(c.alias(f"p{k}") for k, c in enumerate(spots))).mapInArrow(run, "rid long, text string")
+
+
+def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFrame:
+    """rid, id, size, root (a rid that the rows of a component share) and n_links (null unless counted) of each row of rows
+    (rid, id, text), as a kept table."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    signed = kept(_sign(rows, n, num, den, max(shuffle_width(rows.sparkSession), size // BUCKET)))
+    classes = signed.where("kind = 0").select(F.col("a").alias("rid"), F.col("e").alias("id"), F.col("b").alias("rep"), F.col("c").alias("size"), F.col("d").alias("digest"), F.col("w").alias("weight"))
+    blocks = cut(components(_meet(signed)))
+    sized = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).join(classes.where("rid = rep").select("rid", "size", "digest", "weight"), "rid")
+    cells = sized.groupBy("block").agg(F.ceil(F.sum("size") / CELL).alias("cells"))
+    placed = cut(lookup(cut(sized), cells, ["block"]).select("rid", "block", "cells", F.pmod("digest", "cells").alias("part"), "weight"))
+    many = bool(placed.where("cells > 1").take(1))
+    sets = _with_grams(rows, placed, n)
+    place, other = F.col("part"), F.col("other")
+    if count:
+        spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+        met = spread.select(F.col("block").alias("root"), F.least(place, other).alias("lo"), F.greatest(place, other).alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams")
+        links = kept(_search(met, num, den, True))
+    else:
+        sets = kept(sets) if many else sets
+        everywhere = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+        spread = sets.withColumn("lo", F.explode(F.when(F.col("rid") == F.col("block"), everywhere).otherwise(F.array("part"))))
+        links = kept(_search(spread.select(F.col("block").alias("root"), "lo", F.col("lo").alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams"), num, den, False))
+        if many:
+            links = kept(links.union(_across(placed.where("cells > 1").drop("weight"), sets, links, num, den)))
+    linked = components(links.where("b is not null").select("a", "b"))
+    own = classes.join(linked.withColumnsRenamed({"node": "rep"}), "rep", "left")
+    n_links = F.lit(None).cast("long")
+    if count:
+        sums = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("more"))
+        own, n_links = own.join(sums, "rep", "left"), F.when(F.col("size") == 0, 0).otherwise(F.coalesce("more", F.col("weight") - 1)).cast("long")
+    return kept(own.select("rid", "id", "size", F.coalesce("root", "rep").alias("root"), n_links.alias("n_links")))
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (the set's size) and component_id, the smallest id reachable by links of similarity num / den.
+def _across(placed: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between cells of a block: what its largest component lacks meets every cell, so no pair but those inside that
+    component stays unseen."""
+    known = cut(placed.join(components(links.select("a", "b")).withColumnsRenamed({"node": "rid", "root": "same"}), "rid", "left").withColumn("same", F.coalesce("same", "rid")))
+    counts = known.groupBy("block", "same").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("block").agg(F.max(F.struct("n", "same"))["same"].alias("main"))
+    outside = known.join(main, "block").where("same != main")
+    chunks = outside.select("block", F.col("part").alias("hi")).distinct()
+    base = known.join(chunks, "block").select("block", F.col("part").alias("lo"), "hi", F.lit(0).alias("part"), "rid", "same")
+    more = outside.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("lo"), F.col("part").alias("hi"), F.lit(1).alias("part"), "rid", "same")
+    # in its own part an outsider has met all; in another it meets all of that part
+    apart = base.union(more).where("lo != hi")
+    rows = apart.join(sets.select("rid", "weight", "grams"), "rid").select(F.col("block").alias("root"), "lo", "hi", "part", "rid", "same", "weight", "grams")
+    return _search(rows, num, den, False)
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """root and first (none, id, rid): of each component's rows the one with the smallest id, without one only if none has."""
+    return found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """doc_id, n_shingles (the set's size) and component_id, the smallest id reachable by links of similarity num / den, of
+    every row; with links also n_links, how many other rows it is linked with, for which all pairs of a block are counted.
 
     Words are runs of other characters than U+0020 and U+0009 to U+000D, lower-cased A-Z; n-grams are hashed to 64 bits. A
     text of fewer than n words has its whole sequence as one n-gram. A null, empty or blank text has no n-gram, is linked
-    with nothing and is its own component. Rows that repeat an id with different texts each have their own row; rows
-    without an id take part and come back with a null doc_id, as a component of others' ids where they are linked. An
-    empty table gives no rows; other columns are not read.
+    with nothing and is its own component. Rows, not ids, are joined: rows that repeat an id with different texts each have
+    their own links, and rows without an id take part, link others, and come back with a null doc_id; a component in which
+    no row has an id has a null component_id. An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    signed = kept(_sign(rows, n, num, den))
-    classes = signed.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("c").alias("size"))
-    first = signed.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    from pyspark.sql import Window
-
-    leaders = first.select("node", F.min("node").over(Window.partitionBy("sig")).alias("leader")).where("node != leader")
-    near = leaders.select(F.col("node").alias("a"), F.col("leader").alias("b")).union(signed.where("kind = 2").select("a", "b"))
-    blocks = cut(components(near))
-    # cells of a block: as many as its n-grams ask for; its first class is in each
-    heads = classes.where("id is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("size").alias("size"))
-    sized = blocks.join(heads, "node")
-    cells = sized.groupBy("root").agg(F.ceil(F.sum("size") / CELL).alias("cells"))
-    placed = cut(sized.join(cells, "root").withColumn("part", F.pmod(F.xxhash64("node"), "cells")))
-    sets = _grams(rows, placed.select("id", "node").distinct(), n).groupBy("node").agg(F.first("grams").alias("grams"))
-    spread = placed.select("node", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.col("part").cast("long")))).alias("part"), "root", "cells")
-    cell = F.struct("root", "part")
-    many = placed.where("cells > 1").select("root").limit(1).count() > 0
-    sets = kept(sets) if many else sets
-    links = cut(_search(spread.join(sets, "node").select(F.xxhash64(cell).alias("cell"), "node", F.col("node").alias("same"), "grams"), num, den))
-    if many:
-        links = cut(links.union(_across(placed.where("cells > 1"), sets, links, num, den)))
-    linked = components(links)
-    named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = named.join(least, "root").select("id", "size", F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+    rows, row = numbered(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")))
+    found = _found(rows.withColumnRenamed(row, "rid"), n, num, den, links)
+    out = lookup(found, _first(found), ["root"])
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), *(["n_links"] if links else []))
 
 
-def _across(placed: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between cells of a block: what its largest component lacks meets every cell, so no pair but those inside that
-    component stays unseen."""
-    known = cut(placed.join(components(links).withColumnRenamed("root", "same"), "node", "left").withColumn("same", F.coalesce("same", "node")))
-    counts = known.groupBy("root", "same").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("root").agg(F.max(F.struct("n", "same"))["same"].alias("main"))
-    outside = known.join(main, "root").where("same != main").select("root", "node", "same", F.col("part").alias("other"), "cells")
-    chunks = outside.select("root", "other").distinct()
-    base = known.join(chunks, "root").select("root", "part", "other", "node", "same")
-    more = outside.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("part"), "other", "node", "same")
-    both = base.union(more.select("root", "part", "other", "node", "same")).distinct()
-    rows = both.join(sets, "node").select(F.xxhash64("root", "part", "other").alias("cell"), "node", "same", "grams")
-    return _search(rows, num, den)
-
-
-def links_by_brute_force(texts: dict[int, str], n: int, num: int, den: int) -> dict[int, tuple[int, int]]:
-    """n_shingles and component of each id, by comparing all pairs; for tests."""
+def stay(rows: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """rid of one row of each component of rows (rid, id, text; a kept table): that with the smallest id, then rid."""
+    return _first(_found(rows, n, num, den, False)).select(F.col("first.rid").alias("rid"))
+
+
+def links_by_brute_force(texts: dict[int, str], n: int, num: int, den: int) -> dict[int, tuple[int, int, int]]:
+    """n_shingles, component and number of links of each key, by comparing all pairs; for tests."""
     import re
 
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     found = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for k, t in texts.items()}
     sets = {k: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for k, w in found.items()}
-    root = {k: k for k in texts}
+    root, links = {k: k for k in texts}, dict.fromkeys(texts, 0)
 
     def top(k):
         while root[k] != k:
@@ -344,4 +516,6 @@ def links_by_brute_force(texts: dict[int, str], n: int, num: int, den: int) -> d
             if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
-    return {k: (len(sets[k]), top(k)) for k in ids}
+                links[a] += 1
+                links[b] += 1
+    return {k: (len(sets[k]), top(k), links[k]) for k in ids}

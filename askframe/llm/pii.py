@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, free_name, kept, lookup, numbered
 from .spans import find, keyed, listed
 
 # The kinds in their order and their patterns. The possessive quantifiers and the looks behind give the same
@@ -23,7 +24,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
-WORD = r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})"
+WORD = r"\p{L}++"
 #: Texts without the entity that are added to those with a term.
 PRIOR = 2
 KINDS = [*PATTERNS, "generalised", "removed"]
@@ -52,28 +53,34 @@ def base_spans(rows: DataFrame) -> DataFrame:
 def disclosing_terms(entities: DataFrame, texts: DataFrame, rows: DataFrame, generalise: float) -> DataFrame:
     """key, term, disclosure: terms of a text that tell generalise of the information of an entity in it, or more.
 
-    entities: key and entity, each once; texts: the rows that have one. All counts are of rows, also of copies. To the rows
-    with a term PRIOR are added that lack the entity, so that a single one proves little in a small corpus. As the share is
-    at most n_e / (n_t + PRIOR), a pair beyond that bound can't reach generalise and isn't counted; no other pair is left out.
+    entities: key and entity, each once; texts: the rows that have one; all three are kept tables. All counts are of rows,
+    also of copies. To the rows with a term PRIOR are added that lack the entity, so that a single one proves little in a
+    small corpus. As the share is at most n_e / (n_t + PRIOR), a pair beyond that bound can't reach generalise and isn't
+    counted; no other pair is left out. Of entities that occur in the same texts, as those that only one text mentions, one
+    speaks for all, as they have the same shares.
     """
-    from .common import kept
 
     def terms(of: DataFrame) -> DataFrame:
-        words = F.array_distinct(F.transform(F.filter(F.split("text", r"\P{L}+"), lambda w: F.char_length(w).between(4, 40)), F.lower))
+        words = F.array_distinct(F.transform(F.filter(F.split("text", r"\P{L}+"), lambda w: w != ""), F.lower))
         return of.select("key", F.explode(words).alias("term"))
 
     total = rows.count()
     counts = terms(rows).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = entities.join(texts.select("key"), "key").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    weighed = entities.join(n_e, "entity").withColumn("most", F.pow("n_e", F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-9) - PRIOR)
-    most = weighed.agg(F.max("most")).first()[0]
-    rare = counts.where(F.col("n_t") <= F.lit(most))
-    pairs = kept(terms(texts).join(rare, "term").join(weighed, "key").where("n_t <= most").select("key", "entity", "term", "n_t", "n_e"))
+    where = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"at{k}") for k in (1, 2)]
+    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *where)
+    spoken = n_e.groupBy("n_e", "at1", "at2").agg(F.min("entity").alias("entity")).select("entity", "n_e")
+    most = F.pow("n_e", F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-9) - PRIOR
+    weighed = kept(lookup(entities, cut(spoken), ["entity"]).withColumn("most", most))
+    top = weighed.agg(F.max("most")).first()[0]
+    rare = counts.where(F.col("n_t") <= F.lit(top))
+    mentions = weighed.groupBy("key").agg(F.max("most").alias("most_of_text"))
+    few = lookup(kept(terms(texts)), cut(rare), ["term"]).join(mentions, "key").where("n_t <= most_of_text")
+    pairs = kept(few.join(weighed, "key").where("n_t <= most").select("key", "entity", "term", "n_t", "n_e"))
     share = F.count(F.lit(1)) / (F.first("n_t") + PRIOR)
     p_e = F.first("n_e") / F.lit(total)
     told = F.when(p_e < 1, F.log2(share / p_e) / -F.log2(p_e)).otherwise(0.0)
     telling = pairs.groupBy("entity", "term").agg(told.alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return pairs.join(telling, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    return lookup(pairs, cut(telling), ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def all_spans(rows: DataFrame, generalise: float = 0.6, remove: float = 0.85) -> DataFrame:
@@ -81,10 +88,8 @@ def all_spans(rows: DataFrame, generalise: float = 0.6, remove: float = 0.85) ->
 
     A term that overlaps a base span is part of it and adds nothing.
     """
-    from .common import kept
-
     base = kept(base_spans(rows))
-    entities = base.select("key", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
+    entities = kept(base.select("key", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct())
     texts = kept(rows.select("key", "text").join(entities.select("key").distinct(), "key", "left_semi"))
     terms = kept(disclosing_terms(entities, texts, rows, generalise))
     words = find(texts.join(terms.select("key").distinct(), "key", "left_semi"), {"word": WORD})
@@ -110,8 +115,8 @@ def _of(kind: str):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms of every row.
 
-    A null or empty text has no spans. Rows that repeat an id and text have the same spans each; a row without an id is
-    searched like any other. Very long texts take one pass a pattern. An empty table gives no rows; other columns are not read.
+    A null or empty text has no spans. Rows are searched one by one, so rows that repeat an id or text have the same spans
+    each; a row without an id is searched like any other. Very long texts take one pass a pattern. An empty table gives no rows; other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
     spans = all_spans(rows, **settings)
@@ -127,23 +132,22 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with every span of text_col replaced: a base span by its kind in brackets, a generalised term by [TERM], a
     removed one by nothing. Overlapping spans are replaced together, as the first. Texts without spans stay as they are,
     null included; all columns and rows stay."""
-    mine, hashed = "_key_of_text", docs.columns
-    rows = keyed(docs, id_col, text_col)
-    spans = all_spans(rows, **settings)
+    table, row = numbered(docs)
+    text = F.coalesce(table[text_col].cast("string"), F.lit(""))
+    spans = all_spans(table.select(table[row].alias("key"), table[id_col].cast("long").alias("doc_id"), text.alias("text")), **settings)
+    found = free_name(table.columns, "_spans")
     order = Window.partitionBy("key").orderBy("start", _rank(F.col("kind")))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     isles = spans.withColumn("new", F.coalesce(reach <= F.col("start"), F.lit(True)).cast("int")).withColumn("isle", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     label = F.when(F.col("first") == "removed", "").when(F.col("first") == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper("first"), F.lit("]")))
     merged = isles.groupBy("key", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", _rank(F.col("kind")))).alias("first")).select("key", F.struct("start", "end", label.alias("label")).alias("s"))
-    lists = merged.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    key = F.concat_ws(":", F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
-    joined = docs.withColumn(mine, key).join(lists.withColumnRenamed("key", mine), mine, "left")
+    lists = merged.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias(found)).withColumnRenamed("key", row)
+    joined = table.join(lists, row, "left")
 
     def piece(s: Column, k: Column) -> Column:
-        last = F.when(k > 0, F.get("_spans", k - 1)["end"]).otherwise(0)
+        last = F.when(k > 0, F.get(found, k - 1)["end"]).otherwise(0)
         return F.concat(F.substring(text, last + 1, s["start"] - last), s["label"])
 
-    end = F.element_at("_spans", -1)["end"]
-    new = F.concat(F.array_join(F.transform("_spans", piece), ""), F.substring(text, end + 1, F.char_length(text)))
-    return joined.select(*(F.when(F.col("_spans").isNull(), docs[c]).otherwise(new).alias(c) if c == text_col else docs[c] for c in hashed))
+    end = F.element_at(found, -1)["end"]
+    new = F.concat(F.array_join(F.transform(found, piece), ""), F.substring(text, end + 1, F.char_length(text)))
+    return joined.select(*(F.when(F.col(found).isNull(), table[c]).otherwise(new).alias(c) if c == text_col else table[c] for c in docs.columns))

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import numbered, text_of
 
 #: Code points before and after a match that are looked at as its surroundings.
 REACH = 60
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, text; rows of the same id and text share a key, a null text is empty."""
-    text = text_of(docs, text_col)
-    doc_id = docs[id_col].cast("long")
-    return docs.select(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.xxhash64(text).cast("string")).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    """key (a number of the row), doc_id, text, as a kept table; a null text is empty."""
+    rows, row = numbered(docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")))
+    return rows.withColumnRenamed(row, "key").select("key", "doc_id", "text")
 
 
 def find(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str] | None = None) -> DataFrame:
@@ -39,17 +38,12 @@ def find(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str] | None
         out = F.transform(zipped, one)
         return F.when(F.col("text").contains(needs[kind]), out) if kind in needs else out
 
-    parts = [rows.select("key", F.explode(hits(kind, pattern)).alias("m")).select("key", "m.*") for kind, pattern in patterns.items()]
-    if len(parts) > 1:
-        empty = F.array().cast("array<struct<kind:string,k:int,gap:int,value:string,before:string,after:string>>")
-        together = F.concat(*(F.coalesce(hits(kind, pattern), empty) for kind, pattern in patterns.items()))
-        matches = rows.select("key", F.explode(together).alias("m")).select("key", "m.*")
-    else:
-        matches = parts[0]
-    once = matches.groupBy("key", "kind", "k").agg(*(F.first(c).alias(c) for c in ("gap", "value", "before", "after")))
+    empty = F.array().cast("array<struct<kind:string,k:int,gap:int,value:string,before:string,after:string>>")
+    together = F.concat(*(F.coalesce(hits(kind, pattern), empty) for kind, pattern in patterns.items()))
+    matches = rows.select("key", F.explode(together).alias("m")).select("key", "m.*")
     run = Window.partitionBy("key", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.char_length("value")).over(run)
-    placed = once.withColumn("end", end)
+    placed = matches.withColumn("end", end)
     return placed.select("key", "kind", (F.col("end") - F.char_length("value")).alias("start"), "end", "value", "before", "after")
 
 

@@ -9,38 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import exact_dedup, langid, ngram_join, packing, pii
-from askframe.llm.common import kept
+from askframe.llm.common import kept, numbered
 
 #: Words of a shingle, and the similarity (as a fraction) from which documents are near duplicates.
 SHINGLE, NEAR = 5, (8, 10)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: those without any letter. Rows without an id go with them."""
-    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
+    """Rejects documents without a language: those without any letter, null and empty texts among them. All other rows stay,
+    also rows without an id and repeated ones."""
+    found = langid.label(docs)
+    return found.where(F.col(found.columns[-2]) != langid.UNDETERMINED).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
+    """Keeps one row of each group of equal texts: of repeated rows too only one, of rows with and without an id one with."""
+    rows, row = numbered(docs)
+    found = exact_dedup.exact_dedup(rows, row_col=row).where("kept").select(row)
+    return rows.join(found, row, "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates."""
-    found = ngram_join.join(docs, SHINGLE, *NEAR).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
+    """Keeps the row with the smallest id of each component of near duplicates, one without an id only if none has one. Texts
+    without a word are no duplicates."""
+    rows, row = numbered(docs)
+    found = ngram_join.stay(rows.select(F.col(row).alias("rid"), F.col("doc_id").cast("long").alias("id"), "text"), SHINGLE, *NEAR)
+    return rows.join(found.withColumnRenamed("rid", row), row, "left_semi").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and the terms that disclose it; n_chars follows the text. Every document stays."""
+    """Replaces personal data and the terms that disclose it; n_chars follows the text. Every row stays, null texts as null."""
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))) if "n_chars" in docs.columns else clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 ids: doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset."""
+    """Pieces of sequences of 1024 ids: doc_id, start, length, doc_tokens, ids (little-endian uint32), sequence_id, offset. Every
+    row is packed, a null or empty text as its end alone; rows without an id or of one id each have their own pieces."""
     return packing.pack_documents(docs, tokenizer())
 
 
