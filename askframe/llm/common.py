@@ -177,7 +177,16 @@ def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with _shuffles_go(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what kept() has written, once nothing reads it any more."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -8,7 +8,11 @@
    lower band's number of parts. A map task joins equal signatures itself and sends one of each on, packed: a row a bucket,
    with 5 bytes a signature and 2 for its class's place in the chunk. Common words and shared passages bring nothing
    together here: a whole random part of the set must agree.
-3. Classes connected by signatures form a block, cut into cells of bounded size. In a cell DivideSkip finds each set's
+3. Classes connected by signatures form a block. One that is larger than a cell is mostly held together by passages that many
+   texts share; there, the block's frequent n-grams are counted and its classes sign anew, first only with the n-grams that
+   are rare, and with ever more frequent ones only where those don't fill more parts than may differ. As both sets of a
+   linked pair then sign at the first step at which one of them has parts enough, no link is lost, whatever is counted as
+   frequent. Blocks are cut into cells of bounded size. In a cell DivideSkip finds each set's
    partners: of its inverted lists the short ones are merged, candidates that occur often enough are probed in the long ones
    by binary search (or these are merged too, where that is less work), and who reaches the overlap is linked.
 4. For the number of links every two cells of a block meet. For components alone a block's first class is in each of its
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept, lookup, mix64, numbered, raw, shuffle_width, slices, words
+from .common import cut, discard, kept, lookup, mix64, most_frequent, numbered, raw, shuffle_width, slices, words
 
 #: N-grams that a cell of a block holds, about; a class with more makes a cell of its own.
 CELL = 1 << 19
@@ -32,6 +36,9 @@ CELL = 1 << 19
 CHUNK, CHUNK_ROWS, BUCKET = 1 << 21, 1 << 16, 64 << 20
 #: Classes to look at that are broadcast; more are joined by a shuffle, for which a Bloom filter spares other texts.
 FEW = 1 << 18
+#: Occurrences from which an n-gram of a large block counts as frequent, steps of eight times as many each, and how many of the
+#: most frequent n-grams are broadcast. They don't alter results.
+TIER, TIERS, FREQUENT = 8, 6, 1 << 20
 SIGNED = "kind int, a long, b long, c long, d long, e long, w long, x binary, y binary"
 
 
@@ -70,12 +77,13 @@ def bands(size: int, num: int, den: int) -> list[int]:
     return ends
 
 
-def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int, tier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the parts of each row's set, and their rows.
 
-    A band has a few parts more than may differ. Of the parts that agree in a linked pair some may be empty in both; only
-    if a set has as many empty parts as must agree could no filled one be among them. Such a set also signs its prefix, the
-    smallest hashes of which linked sets must share one, and so does its partner, which has these empty parts too.
+    A band has a few parts more than may differ. Of the parts that agree in a linked pair some may be empty in both; a set that
+    fills more parts than may differ has one among them that isn't. If neither does, both sign their prefix, the smallest
+    hashes of which linked sets must share one. With tier, a small number of each n-gram, the parts are first those of the
+    n-grams of tier 0, and a set that these don't fill enough goes on with the next tier added, up to the whole set.
     """
     size = np.diff(offsets)
     if not size.max(initial=0):
@@ -89,28 +97,61 @@ def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tu
     out, of = [], []
     for lower in (0, 1):
         own = band - lower
-        used = (own >= 0) & (size > 0)
-        m = np.where(used, (differ + agree)[np.maximum(own, 0)], 0)
+        active = (own >= 0) & (size > 0)
+        m = np.where(active, (differ + agree)[np.maximum(own, 0)], 0)
         base = np.cumsum(m) - m
-        mine = used[row]
-        at = base[row[mine]] + (gram[mine] % m[row[mine]].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at, value = at[order], spread[mine][order]
-        if not len(at):
-            continue
-        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        r = np.repeat(np.arange(len(m)), m)[at[starts]]
-        label = (own[r].astype(np.uint64) << np.uint64(32)) + (at[starts] - base[r]).astype(np.uint64)
-        out.append(mix64(np.add.reduceat(value, starts)) + mix64(label))
-        of.append(r)
-        empty = m - np.bincount(r, minlength=len(m))
-        for k in np.flatnonzero(used & (empty >= agree[np.maximum(own, 0)])):
+        part_row = np.repeat(np.arange(len(m)), m)
+        for step in range(1 if tier is None else TIERS):
+            mine = np.flatnonzero(active[row] if tier is None else active[row] & (tier <= step))
+            at = base[row[mine]] + (gram[mine] % m[row[mine]].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, value = at[order], spread[mine][order]
+            filled = np.zeros(len(m), np.int64)
+            if len(at):
+                starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                r = part_row[at[starts]]
+                label = (own[r].astype(np.uint64) << np.uint64(32)) + (at[starts] - base[r]).astype(np.uint64) + np.uint64(step << 56)
+                out.append(mix64(np.add.reduceat(value, starts)) + mix64(label))
+                of.append(r)
+                filled = np.bincount(r, minlength=len(m))
+            active &= filled <= differ[np.maximum(own, 0)]
+            if not active.any():
+                break
+        for k in np.flatnonzero(active):
             n = int(size[k])
             out.append(mix64(gram[offsets[k] : offsets[k] + n - -(-num * n // den) + 1] + np.uint64(1 + own[k])))
             of.append(np.full(len(out[-1]), k))
     return np.concatenate(out), np.concatenate(of)
 
 
+def _batch(kind: int, *cols, x: pa.Array | None = None, y: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(cols[0])
+    longs = [c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in cols] + [pa.nulls(n, pa.int64())] * (6 - len(cols))
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, none if x is None else x, none if y is None else y], [f.split()[0] for f in SIGNED.split(", ")])
+
+
+def _packed(sig: np.ndarray, of: np.ndarray, buckets: int, base: int | None):
+    """Signatures of a chunk, equal ones joined, as rows of kinds 1 and 2. of: classes; with base, they are below base plus
+    CHUNK_ROWS, and their distance to it is kept; else they are kept whole, and base is null."""
+    bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    key = bucket << np.uint64(40) | sig & np.uint64((1 << 40) - 1)
+    order = np.lexsort((of, key))
+    key, of = key[order], of[order]
+    new = np.append(True, key[1:] != key[:-1])
+    leader = of[new][np.cumsum(new) - 1]
+    pairs = pd.DataFrame({"a": of, "b": leader})[of != leader].drop_duplicates()
+    if len(pairs):
+        yield _batch(2, pairs["a"].to_numpy(), pairs["b"].to_numpy())
+    key, of = key[new], of[new]
+    low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<i8") if base is None else (of - base).astype("<u2")
+    edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
+    own = key[edge[:-1]] >> np.uint64(40)
+    x = pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+    y = pa.array([of[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+    yield _batch(1, own.astype(np.int64), pa.nulls(len(own), pa.int64()) if base is None else np.full(len(own), base), x=x, y=y)
+
+
 class _Chunk:
     """Rows of a map task whose classes and signatures are joined before they leave it."""
 
@@ -134,7 +175,7 @@ class _Chunk:
             pick = np.concatenate([np.arange(at[k], at[k + 1]) for k in new])
             sig, of = _signatures(gram[pick], np.concatenate([[0], np.cumsum(size[new])]), num, den)
             self.signatures.append(sig)
-            self.of.append(rid[new][of] - self.base)
+            self.of.append(rid[new][of])
             self.held += len(sig)
 
     def out(self):
@@ -144,33 +185,9 @@ class _Chunk:
         first[form[::-1]] = np.arange(len(form))[::-1]
         rep = np.where(size > 0, rid[first[form]], rid)
         weight = np.where(size > 0, np.bincount(form, minlength=len(first))[form], 1)
-        yield self._batch(0, rid, rep, size, digest, pa.concat_arrays([x[3] for x in self.rows]), weight)
-        if not self.held:
-            return
-        sig, of = np.concatenate(self.signatures), np.concatenate(self.of)
-        bucket = (sig >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
-        key = bucket << np.uint64(40) | sig & np.uint64((1 << 40) - 1)
-        order = np.lexsort((of, key))
-        key, of = key[order], of[order]
-        new = np.append(True, key[1:] != key[:-1])
-        leader = of[new][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([of[of != leader], leader[of != leader]], 1), axis=0)
-        if len(pairs):
-            yield self._batch(2, pairs[:, 0] + self.base, pairs[:, 1] + self.base)
-        key, of = key[new], of[new]
-        low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<u2")
-        edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
-        own = key[edge[:-1]] >> np.uint64(40)
-        x = pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
-        y = pa.array([of[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
-        yield self._batch(1, own.astype(np.int64), np.full(len(own), self.base), x=x, y=y)
-
-    @staticmethod
-    def _batch(kind: int, *cols, x: pa.Array | None = None, y: pa.Array | None = None) -> pa.RecordBatch:
-        n = len(cols[0])
-        longs = [c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in cols] + [pa.nulls(n, pa.int64())] * (6 - len(cols))
-        none = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, none if x is None else x, none if y is None else y], [f.split()[0] for f in SIGNED.split(", ")])
+        yield _batch(0, rid, rep, size, digest, pa.concat_arrays([x[3] for x in self.rows]), weight)
+        if self.held:
+            yield from _packed(np.concatenate(self.signatures), np.concatenate(self.of), self.buckets, self.base)
 
 
 def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -199,6 +216,49 @@ def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFram
     return rows.select("rid", "id", "text").mapInArrow(run, SIGNED)
 
 
+def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """Rows of kinds 1 and 2 of sets (rid, block, grams), by steps of how frequent n-grams are among them."""
+    spark = sets.sparkSession
+
+    def count(batches):
+        for batch in batches:
+            grams = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            for a in range(0, len(grams), 4096):
+                gram, n = np.unique(np.concatenate(grams[a : a + 4096]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+
+    counts = sets.select("grams").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= TIER)
+    frequent = most_frequent(kept(counts), "n", F.col("gram"), FREQUENT).toPandas()
+    known = frequent["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    tiers = np.minimum(np.log2(frequent["n"].to_numpy()[order] / TIER + 1e-9) // 3 + 1, TIERS - 1).astype(np.int8)
+    sent = spark.sparkContext.broadcast((known[order], tiers))
+
+    def run(batches):
+        known, tiers = sent.value
+        signatures, classes, held = [], [], 0
+        for batch in batches:
+            rids, blocks, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_pylist()
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in grams])])
+            for a, b in slices(offsets, 1 << 18):
+                gram = np.frombuffer(b"".join(grams[a:b]), np.uint64)
+                tier = np.zeros(len(gram), np.int8)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                    tier = np.where(known[k] == gram, tiers[k], 0)
+                sig, of = _signatures(gram, offsets[a : b + 1] - offsets[a], num, den, tier)
+                signatures.append(sig ^ mix64(blocks[a:b][of] + np.uint64(7)))
+                classes.append(rids[a:b][of])
+                held += len(sig)
+                if held > CHUNK:
+                    yield from _packed(np.concatenate(signatures), np.concatenate(classes), buckets, None)
+                    signatures, classes, held = [], [], 0
+        if held:
+            yield from _packed(np.concatenate(signatures), np.concatenate(classes), buckets, None)
+
+    return sets.select("rid", "block", "grams").mapInArrow(run, SIGNED)
+
+
 def _meet(signed: DataFrame) -> DataFrame:
     """a, b: classes that share a signature, each with the least class of the signature."""
 
@@ -206,8 +266,8 @@ def _meet(signed: DataFrame) -> DataFrame:
         bucket, held = None, []
 
         def finish():
-            value = np.concatenate([np.frombuffer(x, "<u4", len(y) // 2).astype(np.uint64) | np.frombuffer(x, np.uint8, len(y) // 2, 2 * len(y)).astype(np.uint64) << np.uint64(32) for _, x, y in held])
-            rid = np.concatenate([base + np.frombuffer(y, "<u2").astype(np.int64) for base, _, y in held])
+            value = np.concatenate([np.frombuffer(x, "<u4", len(x) // 5).astype(np.uint64) | np.frombuffer(x, np.uint8, -1, len(x) // 5 * 4).astype(np.uint64) << np.uint64(32) for _, x, _ in held])
+            rid = np.concatenate([np.frombuffer(y, "<i8") if base is None else base + np.frombuffer(y, "<u2").astype(np.int64) for base, _, y in held])
             order = np.argsort(value, kind="stable")
             value = value[order]
             again = np.append(False, value[1:] == value[:-1])
@@ -425,26 +485,38 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     """rid, id, size, root (a rid that the rows of a component share) and n_links (null unless counted) of each row of rows
     (rid, id, text), as a kept table."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    signed = kept(_sign(rows, n, num, den, max(shuffle_width(rows.sparkSession), size // BUCKET)))
+    buckets = max(shuffle_width(rows.sparkSession), size // BUCKET)
+    signed = kept(_sign(rows, n, num, den, buckets))
     classes = signed.where("kind = 0").select(F.col("a").alias("rid"), F.col("e").alias("id"), F.col("b").alias("rep"), F.col("c").alias("size"), F.col("d").alias("digest"), F.col("w").alias("weight"))
-    blocks = cut(components(_meet(signed)))
-    sized = blocks.select(F.col("node").alias("rid"), F.col("root").alias("block")).join(classes.where("rid = rep").select("rid", "size", "digest", "weight"), "rid")
+    classes = kept(classes)
+    blocks = cut(components(_meet(signed))).select(F.col("node").alias("rid"), F.col("root").alias("block"))
+    discard(signed)
+    reps = classes.where("rid = rep").select("rid", "size", "digest", "weight")
+    sized = cut(blocks.join(reps, "rid"))
+    large = cut(sized.groupBy("block").agg(F.sum("size").alias("grams")).where(F.col("grams") > CELL).select("block"))
+    sets = kept(_with_grams(rows, sized.select("rid", "block"), n))
+    if large.take(1):
+        of_large = sets.join(F.broadcast(large), "block", "left_semi")  # a block of over CELL n-grams each
+        anew = kept(_sign_rare(of_large, num, den, buckets))
+        refined = cut(components(_meet(anew))).select(F.col("node").alias("rid"), F.col("root").alias("part_of"))
+        discard(anew)
+        sized = cut(sized.join(F.broadcast(large).withColumn("cut", F.lit(True)), "block", "left").join(refined, "rid", "left").where("cut is null or part_of is not null").withColumn("block", F.coalesce("part_of", "block")).select("rid", "block", "size", "digest", "weight"))
     cells = sized.groupBy("block").agg(F.ceil(F.sum("size") / CELL).alias("cells"))
-    placed = cut(lookup(cut(sized), cells, ["block"]).select("rid", "block", "cells", F.pmod("digest", "cells").alias("part"), "weight"))
+    placed = cut(lookup(sized, cells, ["block"]).select("rid", "block", "cells", F.pmod("digest", "cells").alias("part"), "weight"))
     many = bool(placed.where("cells > 1").take(1))
-    sets = _with_grams(rows, placed, n)
+    grams, sets = sets, sets.select("rid", "grams").join(F.broadcast(placed) if placed.count() <= FEW else placed, "rid")
     place, other = F.col("part"), F.col("other")
     if count:
         spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
         met = spread.select(F.col("block").alias("root"), F.least(place, other).alias("lo"), F.greatest(place, other).alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams")
         links = kept(_search(met, num, den, True))
     else:
-        sets = kept(sets) if many else sets
         everywhere = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
         spread = sets.withColumn("lo", F.explode(F.when(F.col("rid") == F.col("block"), everywhere).otherwise(F.array("part"))))
         links = kept(_search(spread.select(F.col("block").alias("root"), "lo", F.col("lo").alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams"), num, den, False))
         if many:
             links = kept(links.union(_across(placed.where("cells > 1").drop("weight"), sets, links, num, den)))
+    discard(grams)
     linked = components(links.where("b is not null").select("a", "b"))
     own = classes.join(linked.withColumnsRenamed({"node": "rep"}), "rep", "left")
     n_links = F.lit(None).cast("long")
@@ -487,6 +559,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     """
     rows, row = numbered(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")))
     found = _found(rows.withColumnRenamed(row, "rid"), n, num, den, links)
+    discard(rows)
     out = lookup(found, _first(found), ["root"])
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), *(["n_links"] if links else []))
 
