@@ -10,6 +10,7 @@ from .operators.board import Board, Match
 from .operators.conditions import Box, Condition, from_filter, holds
 from .plans.compiler import compile_condition, compile_value
 from .plans.legality import Pick
+from .sources import store
 from .sources.records import Records, Series
 
 NOW_MS = 1_709_294_400_000.0  # 2024-03-01T12:00:00Z
@@ -417,3 +418,10 @@ UNION ALL SELECT 'pair', 'mixed', count(*), 0, 0, NULL, NULL, NULL FROM orders""
 def field_facts_json(spark, sf_dir):
     found = discover.facts(order_docs(spark, sf_dir)).where(F.col("field").isin("at", "day", "urgent", "group.n", "group", "pair"))
     return found.select("field", "kind", "present", "filled", "readable", "least_time", "most_time", "most_day")
+
+
+@_query("""SELECT o_orderstatus AS collection, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || chr(10) || '{"p":"' || o_orderpriority || '"}'), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM orders GROUP BY 1""")
+def record_digest(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders")
+    data = F.concat(F.lit('{"p":"'), "o_orderpriority", F.lit('"}'))
+    return store.digest(rows.select(F.col("o_orderstatus").alias("collection"), F.col("o_orderkey").cast("string").alias("key"), data.alias("data")))

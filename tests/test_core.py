@@ -20,6 +20,7 @@ from askframe.plans import gate
 from askframe.plans.compiler import compile_value
 from askframe.plans.legality import Pick, validate
 from askframe.plans.syntax import Binary, Literal, parse, parse_path, spell_path
+from askframe.sources import store
 from askframe.sources.records import Records, Series, copied_from
 
 SF = "/root/testdata/sf0.001"
@@ -329,3 +330,15 @@ def test_related_counts_after_aggregation(spark):
     rows = board.related(p, c, Match("k", "k", "number"), Board("g", counts=(("big", "$.v >= 2"),), measures=(("mean", "avg", "v"), ("most", "max", "v"))))
     got = {r["g"]: (r["rows"], r["big"], float(r["big_pct"]), r["mean"], r["most"]) for r in rows.collect()}
     assert got == {"a": (3, 2, 66.7, Decimal("2.333333"), 4), "b": (0, 0, 0.0, None, None), "c": (0, 0, 0.0, None, None)}
+
+
+def test_store(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", '{"n": 1}'), ("a", "2", None), ("b", "1", "{}")], "collection string, key string, data string")
+    store.save(rows, str(tmp_path / "s"))
+    assert {tuple(r) for r in store.load(spark, str(tmp_path / "s"), "a").select("key", "data").collect()} == {("1", '{"n": 1}'), ("2", None)}
+    want = {r["collection"]: (r["rows"], r["digest"]) for r in store.digest(rows).collect()}
+    store.verify(store.load(spark, str(tmp_path / "s")).repartition(3), want)
+    with pytest.raises(Refusal):
+        store.verify(rows.where("key = '1'"), want)
+    with pytest.raises(Refusal):
+        store.save(rows.union(rows), str(tmp_path / "t"))
