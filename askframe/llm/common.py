@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,11 +184,24 @@ def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes what kept() has written, once nothing reads it any more."""
-    spark = table.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.kept_at)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes what kept() has written, once nothing reads it any more; tables of other origin stay."""
+    for table in tables:
+        if path := getattr(table, "kept_at", None):
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator):
+    """An operator all of whose eager steps leave no shuffle files behind."""
+
+    @functools.wraps(operator)
+    def run(first: DataFrame, *args, **settings):
+        with _shuffles_go(first.sparkSession):
+            return operator(first, *args, **settings)
+
+    return run
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -197,12 +212,49 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+#: Files whose rows are numbered by file and place; of more files a numbered copy is kept.
+FILES = 1 << 16
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs kept with a number of each row that stays the same in every later reading, and that column's name."""
+    """docs with a number of each row that stays the same in every later reading, and that column's name.
+
+    Where docs is read from Parquet files, with no more than columns and rows left out, that is the file's number and the
+    row's place in it; else a numbered copy is kept."""
     row = free_name(docs.columns, "_row")
+    if _scans(docs):
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+            files = sorted(r[0] for r in placed.select("_file").distinct().limit(FILES + 1).collect())
+        except AnalysisException:
+            files = []
+        if 0 < len(files) <= FILES:
+            numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
+            number = (F.shiftleft(F.col("_number"), 40) + F.col("_place")).alias(row)
+            return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, number), row
     return kept(docs.withColumn(row, F.monotonically_increasing_id()), "zstd"), row
 
 
+def _scans(docs: DataFrame) -> bool:
+    """Whether docs is a table's rows as they are stored, or some of them by fixed conditions."""
+    if {"_metadata", "_file", "_place", "_number"} & {c.lower() for c in docs.columns} or len(set(docs.columns)) < len(docs.columns):
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation")
+
+
+#: Row numbers that are broadcast, at most; more are joined by a shuffle of the rows.
+SENT = 1 << 21
+
+
+def few(numbers: DataFrame) -> DataFrame:
+    """A table of row numbers alone, marked for a broadcast if it has no more than SENT rows."""
+    numbers = cut(numbers)
+    return F.broadcast(numbers) if numbers.count() <= SENT else numbers
+
+
 #: A key is hot when it has more than one row of so many; at most as many keys are.
 HOT = 2048
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, tidy
 
 
 def normalised(text: Column) -> Column:
@@ -21,6 +21,7 @@ def normalised(text: Column) -> Column:
     return text
 
 
+@tidy
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1024, tracked: int = 8192, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row_col if it is given.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, kept, lookup, mix64, most_frequent, numbered, raw, shuffle_width, slices, words
+from .common import cut, discard, kept, lookup, mix64, most_frequent, numbered, raw, shuffle_width, slices, tidy, words
 
 #: N-grams that a cell of a block holds, about; a class with more makes a cell of its own.
 CELL = 1 << 19
@@ -36,6 +36,8 @@ CELL = 1 << 19
 CHUNK, CHUNK_ROWS, BUCKET = 1 << 21, 1 << 16, 64 << 20
 #: Classes to look at that are broadcast; more are joined by a shuffle, for which a Bloom filter spares other texts.
 FEW = 1 << 18
+#: Edges whose components one task finds; more take rounds of joins.
+ONE_TASK = 1 << 17
 #: Occurrences from which an n-gram of a large block counts as frequent, steps of eight times as many each, and how many of the
 #: most frequent n-grams are broadcast. They don't alter results.
 TIER, TIERS, FREQUENT = 8, 6, 1 << 20
@@ -140,9 +142,9 @@ def _packed(sig: np.ndarray, of: np.ndarray, buckets: int, base: int | None):
     key, of = key[order], of[order]
     new = np.append(True, key[1:] != key[:-1])
     leader = of[new][np.cumsum(new) - 1]
-    pairs = pd.DataFrame({"a": of, "b": leader})[of != leader].drop_duplicates()
+    pairs = forest(np.stack([of, leader], 1)[of != leader])
     if len(pairs):
-        yield _batch(2, pairs["a"].to_numpy(), pairs["b"].to_numpy())
+        yield _batch(2, pairs[:, 0], pairs[:, 1])
     key, of = key[new], of[new]
     low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<i8") if base is None else (of - base).astype("<u2")
     edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
@@ -259,11 +261,35 @@ def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     return sets.select("rid", "block", "grams").mapInArrow(run, SIGNED)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs, fewer than there are nodes, that connect what pairs (rows of two nodes) connect: each node with its least."""
+    if not len(pairs):
+        return pairs
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        own = label[at]
+        if (own[:, 0] == own[:, 1]).all():
+            break
+        least = own.min(1)
+        np.minimum.at(label, own[:, 0], least)
+        np.minimum.at(label, own[:, 1], least)
+        while (label != (up := label[label])).any():
+            label = up
+    mine = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[mine], nodes[label[mine]]], 1)
+
+
+def _links(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
 def _meet(signed: DataFrame) -> DataFrame:
-    """a, b: classes that share a signature, each with the least class of the signature."""
+    """a, b: pairs of classes that connect all that share a signature."""
 
     def run(batches):
-        bucket, held = None, []
+        bucket, held, met, size = None, [], [], 0
 
         def finish():
             value = np.concatenate([np.frombuffer(x, "<u4", len(x) // 5).astype(np.uint64) | np.frombuffer(x, np.uint8, -1, len(x) // 5 * 4).astype(np.uint64) << np.uint64(32) for _, x, _ in held])
@@ -274,21 +300,27 @@ def _meet(signed: DataFrame) -> DataFrame:
             again[:-1] |= again[1:]
             value, rid = value[again], rid[order][again]
             if not len(value):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+                return np.zeros((0, 2), np.int64)
             start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             leader = np.repeat(np.minimum.reduceat(rid, start), np.diff(np.append(start, len(rid))))
-            pairs = pd.DataFrame({"a": rid, "b": leader})[rid != leader].drop_duplicates()
-            return pa.RecordBatch.from_arrays([pa.array(pairs["a"].to_numpy()), pa.array(pairs["b"].to_numpy())], ["a", "b"])
+            return forest(np.stack([rid, leader], 1)[rid != leader])
 
         for batch in batches:
             for own, base, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != bucket:
                     if held:
-                        yield finish()
+                        met.append(finish())
+                        size += len(met[-1])
+                    if size > CHUNK:  # what connects the same classes is sent once
+                        met = [forest(np.concatenate(met))]
+                        size = len(met[0])
+                    if size > CHUNK:
+                        yield _links(met.pop())
+                        size = 0
                     bucket, held = own, []
                 held.append((base, x, y))
         if held:
-            yield finish()
+            yield _links(forest(np.concatenate([*met, finish()])))
 
     packed = signed.where("kind = 1").select(F.col("a").alias("bucket"), "b", "x", "y")
     dealt = packed.repartition(shuffle_width(signed.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -298,6 +330,14 @@ def _meet(signed: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node in edges (a, b), by alternating large and small stars."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    if e.count() <= ONE_TASK:
+
+        def run(batches):
+            pairs = forest(np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([c.to_numpy() for c in batch.columns], 1) for batch in batches)]))
+            roots = np.unique(pairs[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], roots])), pa.array(np.concatenate([pairs[:, 1], roots]))], ["node", "root"])
+
+        return e.coalesce(1).mapInArrow(run, "node long, root long")
     before = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -523,7 +563,9 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     if count:
         sums = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("more"))
         own, n_links = own.join(sums, "rep", "left"), F.when(F.col("size") == 0, 0).otherwise(F.coalesce("more", F.col("weight") - 1)).cast("long")
-    return kept(own.select("rid", "id", "size", F.coalesce("root", "rep").alias("root"), n_links.alias("n_links")))
+    out = kept(own.select("rid", "id", "size", F.coalesce("root", "rep").alias("root"), n_links.alias("n_links")))
+    discard(classes, links)
+    return out
 
 
 def _across(placed: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
@@ -547,6 +589,7 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
 
 
+@tidy
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """doc_id, n_shingles (the set's size) and component_id, the smallest id reachable by links of similarity num / den, of
     every row; with links also n_links, how many other rows it is linked with, for which all pairs of a block are counted.
@@ -564,9 +607,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), *(["n_links"] if links else []))
 
 
-def stay(rows: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """rid of one row of each component of rows (rid, id, text; a kept table): that with the smallest id, then rid."""
-    return _first(_found(rows, n, num, den, False)).select(F.col("first.rid").alias("rid"))
+@tidy
+def repeats(rows: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """rid of all rows of rows (rid, id, text) but one of each component: that with the smallest id, then rid."""
+    found = _found(rows, n, num, den, False)
+    return lookup(found, _first(found), ["root"]).where("rid != first.rid").select("rid")
 
 
 def links_by_brute_force(texts: dict[int, str], n: int, num: int, den: int) -> dict[int, tuple[int, int, int]]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, kept, lookup, numbered
+from .common import cut, discard, few, free_name, kept, lookup, numbered, tidy
 from .spans import find, keyed, listed
 
 # The kinds in their order and their patterns. The possessive quantifiers and the looks behind give the same
@@ -74,8 +74,8 @@ def disclosing_terms(entities: DataFrame, texts: DataFrame, rows: DataFrame, gen
     top = weighed.agg(F.max("most")).first()[0]
     rare = counts.where(F.col("n_t") <= F.lit(top))
     mentions = weighed.groupBy("key").agg(F.max("most").alias("most_of_text"))
-    few = lookup(kept(terms(texts)), cut(rare), ["term"]).join(mentions, "key").where("n_t <= most_of_text")
-    pairs = kept(few.join(weighed, "key").where("n_t <= most").select("key", "entity", "term", "n_t", "n_e"))
+    near = lookup(kept(terms(texts)), cut(rare), ["term"]).join(mentions, "key").where("n_t <= most_of_text")
+    pairs = kept(near.join(weighed, "key").where("n_t <= most").select("key", "entity", "term", "n_t", "n_e"))
     share = F.count(F.lit(1)) / (F.first("n_t") + PRIOR)
     p_e = F.first("n_e") / F.lit(total)
     told = F.when(p_e < 1, F.log2(share / p_e) / -F.log2(p_e)).otherwise(0.0)
@@ -90,9 +90,9 @@ def all_spans(rows: DataFrame, generalise: float = 0.6, remove: float = 0.85) ->
     """
     base = kept(base_spans(rows))
     entities = kept(base.select("key", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct())
-    texts = kept(rows.select("key", "text").join(entities.select("key").distinct(), "key", "left_semi"))
+    texts = kept(rows.select("key", "text").join(few(entities.select("key").distinct()), "key", "left_semi"), "zstd")
     terms = kept(disclosing_terms(entities, texts, rows, generalise))
-    words = find(texts.join(terms.select("key").distinct(), "key", "left_semi"), {"word": WORD})
+    words = find(texts.join(few(terms.select("key").distinct()), "key", "left_semi"), {"word": WORD})
     label = F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised").alias("kind")
     told = words.withColumn("term", F.lower("value")).join(terms, ["key", "term"]).select("key", "start", "end", label)
     both = base.select("key", "kind", "start", "end").unionByName(told.select("key", "kind", "start", "end"))
@@ -101,7 +101,9 @@ def all_spans(rows: DataFrame, generalise: float = 0.6, remove: float = 0.85) ->
     before, after = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
     ends, begins = F.max(F.when(is_base, F.col("end"))).over(before), F.min(F.when(is_base, F.col("start"))).over(after)
     marked = both.withColumns({"ends": ends, "begins": begins})
-    return marked.where(is_base | ((F.coalesce("ends", F.lit(-1)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end")))).select("key", "kind", "start", "end")
+    out = kept(marked.where(is_base | ((F.coalesce("ends", F.lit(-1)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end")))).select("key", "kind", "start", "end"))
+    discard(base, entities, texts, terms)
+    return out
 
 
 def _rank(kind: Column) -> Column:
@@ -112,6 +114,7 @@ def _of(kind: str):
     return lambda s: s["kind"] == kind
 
 
+@tidy
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms of every row.
 
@@ -128,13 +131,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sett
     return out.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), F.size(F.filter("all", lambda s: s["rank"] > len(PATTERNS))).cast("long").alias("n_terms"))
 
 
+@tidy
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with every span of text_col replaced: a base span by its kind in brackets, a generalised term by [TERM], a
     removed one by nothing. Overlapping spans are replaced together, as the first. Texts without spans stay as they are,
     null included; all columns and rows stay."""
     table, row = numbered(docs)
-    text = F.coalesce(table[text_col].cast("string"), F.lit(""))
-    spans = all_spans(table.select(table[row].alias("key"), table[id_col].cast("long").alias("doc_id"), text.alias("text")), **settings)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    spans = all_spans(table.select(F.col(row).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")), **settings)
     found = free_name(table.columns, "_spans")
     order = Window.partitionBy("key").orderBy("start", _rank(F.col("kind")))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -142,7 +146,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     label = F.when(F.col("first") == "removed", "").when(F.col("first") == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper("first"), F.lit("]")))
     merged = isles.groupBy("key", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", _rank(F.col("kind")))).alias("first")).select("key", F.struct("start", "end", label.alias("label")).alias("s"))
     lists = merged.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias(found)).withColumnRenamed("key", row)
-    joined = table.join(lists, row, "left")
+    lists = kept(lists)
+    marked = few(lists.select(row))
+    joined = table.join(marked, row, "left_semi").join(lists, row)  # only texts with spans travel
+    rest = table.join(marked, row, "left_anti").select(*docs.columns)
 
     def piece(s: Column, k: Column) -> Column:
         last = F.when(k > 0, F.get(found, k - 1)["end"]).otherwise(0)
@@ -150,4 +157,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     end = F.element_at(found, -1)["end"]
     new = F.concat(F.array_join(F.transform(found, piece), ""), F.substring(text, end + 1, F.char_length(text)))
-    return joined.select(*(F.when(F.col(found).isNull(), table[c]).otherwise(new).alias(c) if c == text_col else table[c] for c in docs.columns))
+    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns)).unionByName(rest.withColumn(text_col, rest[text_col].cast("string")))

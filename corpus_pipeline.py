@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import exact_dedup, langid, ngram_join, packing, pii
-from askframe.llm.common import kept, numbered
+from askframe.llm.common import few, kept, numbered
 
 #: Words of a shingle, and the similarity (as a fraction) from which documents are near duplicates.
 SHINGLE, NEAR = 5, (8, 10)
@@ -25,16 +25,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts: of repeated rows too only one, of rows with and without an id one with."""
     rows, row = numbered(docs)
-    found = exact_dedup.exact_dedup(rows, row_col=row).where("kept").select(row)
-    return rows.join(found, row, "left_semi").select(*docs.columns)
+    dropped = few(exact_dedup.exact_dedup(rows, row_col=row).where("not kept").select(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each component of near duplicates, one without an id only if none has one. Texts
     without a word are no duplicates."""
     rows, row = numbered(docs)
-    found = ngram_join.stay(rows.select(F.col(row).alias("rid"), F.col("doc_id").cast("long").alias("id"), "text"), SHINGLE, *NEAR)
-    return rows.join(found.withColumnRenamed("rid", row), row, "left_semi").select(*docs.columns)
+    found = ngram_join.repeats(rows.select(F.col(row).alias("rid"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), SHINGLE, *NEAR)
+    return rows.join(few(found.withColumnRenamed("rid", row)), row, "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
