@@ -25,13 +25,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forms, kept, mix64, most_frequent, shared_dir, slices, span_hashes
+from .common import forms, kept, mix64, most_frequent, shared_dir, slices, span_hashes, tidy
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 #: Words that are compiled, and bytes of the longest: the bound of the lexicon's size. Other words are merged.
 LEXICON_WORDS, LEXICON_BYTES = 1 << 18, 64
-#: Merged words that a worker remembers; results don't depend on it.
-MEMO_WORDS = 1 << 17
+#: Bytes from which a word is merged by itself.
+LONG = 64
 _CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 _BLANKS = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
 
@@ -131,41 +131,62 @@ class Merges:
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[k] == key) & (a >= 0) & (b >= 0), self.rank[k], self.NONE)
 
-    def of(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 8192):
-            own = order[at : at + 8192]
-            for k, ids in zip(own, self._block([words[k] for k in own]), strict=True):
-                out[k] = ids
-        return out
-
-    def _block(self, words: list[bytes]) -> list[list[int]]:
-        n, wide = np.array([len(w) for w in words]), max(map(len, words)) + 1
-        ids = np.full((len(words), wide), -1, np.int32)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ids[np.arange(wide) < n[:, None]] = self.inner[data]
-        ids[np.arange(len(words)), n - 1] = self.last[data[np.cumsum(n) - 1]]
-        done, live = ids, np.arange(len(words))
-        rank, column = self.ranks(ids[:, :-1], ids[:, 1:]), np.arange(wide)
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words data[start:end], one after the other, and how many each has; for words of ordinary length."""
+        n = end - start
+        order = np.argsort(n, kind="stable")
+        lengths, parts = np.zeros(len(n), np.int64), [np.zeros(0, np.int32)]
+        for at in range(0, len(order), 2048):
+            own = order[at : at + 2048]
+            ids = self._block(data, start[own], n[own])
+            full = ids >= 0
+            lengths[own] = full.sum(1)
+            parts.append(ids[full])
+        first = np.zeros(len(n), np.int64)
+        first[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(parts)[_ranges(first, lengths)], lengths
+
+    def _block(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        wide = int(n.max()) + 1
+        column = np.arange(wide, dtype=np.int32)
+        ids = np.full((len(n), wide), -1, np.int32)
+        ids[column < n[:, None]] = self.inner[data[_ranges(start, n)]]
+        ids[np.arange(len(n)), n - 1] = self.last[data[start + n - 1]]
+        done, live = ids, np.arange(len(n))
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
         while True:
-            best = rank.argmin(1)
+            best = rank.argmin(1).astype(np.int32)
             found = rank[np.arange(len(best)), best]
             go = found < self.NONE
             if not go.all():
                 done[live[~go]] = ids[~go]
                 live, ids, rank, best, found = live[go], ids[go], rank[go], best[go], found[go]
             if not len(live):
-                break
-            source = np.minimum(column + (column > best[:, None]), wide - 1)
-            ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, np.minimum(source[:, :-1], wide - 2), 1)
-            ids[:, -1], rank[:, -1] = -1, self.NONE
+                return done
+            behind = column > best[:, None]  # these symbols, and the pairs that they begin, move up by one
+            next_ids, next_rank = np.full_like(ids, -1), np.full_like(rank, self.NONE)
+            next_ids[:, :-1], next_rank[:, :-1] = ids[:, 1:], rank[:, 1:]
+            ids, rank = np.where(behind, next_ids, ids), np.where(behind[:, :-1], next_rank, rank)
             row = np.arange(len(live))
             ids[row, best] = self.new[found]
             rank[row, best] = self.ranks(ids[row, best], ids[row, best + 1])
-            left = best > 0
-            rank[row[left], best[left] - 1] = self.ranks(ids[row[left], best[left] - 1], ids[row[left], best[left]])
-        return [x[:k] for x, k in zip(done.tolist(), (done >= 0).sum(1).tolist(), strict=True)]
+            left = np.flatnonzero(best > 0)
+            rank[left, best[left] - 1] = self.ranks(ids[left, best[left] - 1], ids[left, best[left]])
+
+
+def merged(vocabulary: Vocabulary, merges: Merges, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words data[start:end], one after the other, and how many each has."""
+    long = end - start >= LONG
+    lengths = np.zeros(len(start), np.int64)
+    short, lengths[~long] = merges.of(data, start[~long], end[~long])
+    if not long.any():
+        return short, lengths
+    own = [merge_long(vocabulary, data[a:b].tobytes()) for a, b in zip(start[long], end[long], strict=True)]
+    lengths[long] = [len(x) for x in own]
+    at, flat = np.cumsum(lengths) - lengths, np.empty(lengths.sum(), np.int32)
+    flat[_ranges(at[~long], lengths[~long])] = short
+    flat[_ranges(at[long], lengths[long])] = [y for x in own for y in x]
+    return flat, lengths
 
 
 @functools.cache
@@ -350,11 +371,9 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
         slot_key[at[won]], slot_to[at[won]], slot_out[at[won]] = key[won], to_[won], out_[won]
         left = left[slot_key[at[left]] != key[left]]
         at[left] = (at[left] + 1) & (size - 1)
-    merges = Merges(vocabulary)
-    short = dict(zip(few := [w for w in words if len(w) < 64], merges.of(few), strict=True))
-    ids = [short[w] if len(w) < 64 else merge_long(vocabulary, w) for w in words]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    flat = np.array([y for x in ids for y in x], np.int32)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    flat, lengths = merged(vocabulary, Merges(vocabulary), np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     out = io.BytesIO()
     for a in (np.array([root, size, len(edges), len(words), len(flat)], np.int64), slot_key, slot_to, slot_out, np.array(final, np.int32), offsets, flat):
         out.write(a.tobytes())
@@ -365,7 +384,7 @@ class Lexicon:
     """The compiled transducer, memory-mapped."""
 
     def __init__(self, path: str):
-        m = np.memmap(path, np.uint8, "r")
+        m = np.asarray(np.memmap(path, np.uint8, "r"))
         self.root, size, states, self.n, flat = (int(x) for x in m[:40].view(np.int64))
         at = 40
 
@@ -422,15 +441,7 @@ class Encoded:
 class Encoder:
     def __init__(self, tokenizer_path: str, lexicon_path: str):
         self.vocabulary, self.merges = tables(tokenizer_path)
-        self.splitter, self.lexicon, self.memo, self.state = Splitter(self.vocabulary), Lexicon(lexicon_path), {}, {}
-
-    def _unseen(self, words: list[bytes]) -> list[list[int]]:
-        memo = self.memo
-        if len(memo) >= MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo and len(w) < 64]
-        memo.update(zip(new, self.merges.of(new), strict=True))
-        return [memo[w] if len(w) < 64 else merge_long(self.vocabulary, w) for w in words]
+        self.splitter, self.lexicon = Splitter(self.vocabulary), Lexicon(lexicon_path)
 
     def encode(self, texts: list[str]) -> Encoded:
         w = self.splitter.words(texts)
@@ -443,16 +454,14 @@ class Encoder:
         known, offsets = number >= 0, self.lexicon.offsets
         lengths = np.zeros(len(first), np.int64)
         lengths[known] = (offsets[number[known] + 1] - offsets[number[known]]).astype(np.int64)
-        data, rare = w.data.tobytes(), np.flatnonzero(~known)
-        fresh = rare[special[rare] < 0]
-        unseen = iter(self._unseen([data[a:b] for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]))
-        merged = [[s] if s >= 0 else next(unseen) for s in special[rare].tolist()]
-        lengths[rare] = [len(x) for x in merged]
+        rare = ~known & (special < 0)
+        fresh, lengths[rare] = merged(self.vocabulary, self.merges, w.data, start[rare], end[rare])
+        lengths[special >= 0] = 1
         at = np.concatenate([[0], np.cumsum(lengths)])
         flat = np.empty(at[-1], np.int32)
-        spot = _ranges(at[:-1][known], lengths[known])
-        flat[spot] = self.lexicon.flat[_ranges(offsets[number[known]].astype(np.int64), lengths[known])]
-        flat[_ranges(at[:-1][rare], lengths[rare])] = [y for x in merged for y in x]
+        flat[_ranges(at[:-1][known], lengths[known])] = self.lexicon.flat[_ranges(offsets[number[known]].astype(np.int64), lengths[known])]
+        flat[_ranges(at[:-1][rare], lengths[rare])] = fresh
+        flat[at[:-1][special >= 0]] = special[special >= 0]
         ids = flat[_ranges(at[:-1][form], lengths[form])]
         per_word = np.concatenate([[0], np.cumsum(lengths[form])])
         word_offsets = np.searchsorted(w.row, np.arange(len(texts) + 1))
@@ -535,6 +544,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
 
 
+@tidy
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) of each row, as the tokenizers library gives them without added special tokens.
 
@@ -561,6 +571,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+@tidy
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode() and decode(), joined up form by form instead of id by id."""
     lexicon = build_lexicon(docs, tokenizer_path, text_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import build_lexicon, encode_with
-from .common import shared_dir, shuffle_width, span_hashes
+from .common import shared_dir, shuffle_width, span_hashes, tidy
 
 # Ids in a word and bits of each, by selector; the last selector marks an escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -222,6 +222,7 @@ def read(spark: SparkSession, path: str, payload: str = "ids") -> DataFrame:
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} " + ("long" if payload == "crc32" else "array<long>"))
 
 
+@tidy
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, payload: str = "crc32") -> DataFrame:
     """Writes the documents to files in the shared folder and reads these."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
