@@ -1,10 +1,15 @@
 """Approximate nearest neighbours: inverted lists, scanned dimension by dimension with early abandonment.
 
 Vectors are rotated by a random orthogonal matrix, so that the first d of D coordinates estimate a distance. k-means over a
-bounded sample gives the lists; every vector goes to its nearest one. Lists are dealt as cells of bounded size. A query
-probes its nearest lists, as many as brute force within the sample asks for: in each cell the candidates' coordinate blocks are added one block at a time, and a candidate is
-abandoned when the hypothesis that it is among the nearest so far is rejected, that is when its partial distance exceeds
-the bound by the factor 1 + e / sqrt(d). Survivors are measured in double precision on the original vectors.
+bounded sample of distinct vectors gives the lists; every vector goes to its nearest one. Lists are dealt as cells of bounded
+size. A query probes its nearest lists, as many as brute force within the sample asks for, and further ones until these hold
+several times k vectors. Its nearest list is scanned first; the k-th distance found there is the bound that it carries to the
+others, and that tightens while a cell is scanned. In each cell the candidates' coordinate blocks are added one block at a
+time, and a candidate is abandoned when the hypothesis that it is among the nearest is rejected, that is when its partial
+distance exceeds the bound by the factor 1 + e / sqrt(d). Survivors are measured in double precision on the original vectors.
+
+Equal vectors are one class. As ties go to the smaller id, only the k + 1 rows of a class with the smallest ids can be among
+the k nearest of anything, so only these are indexed, and a class is searched once for all its queries.
 """
 
 from __future__ import annotations
@@ -14,35 +19,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, shuffle_width
+from .common import cut, kept, lookup, shuffle_width, tidy
 
-#: Vectors that the lists' centres are fitted on, at most; the first by a hash of the id.
-SAMPLE = 1 << 15
-#: Vectors of a cell, about.
-CELL = 4096
+#: Vectors that the lists' centres are fitted on: 16 a list, at most so many; the first by a hash of the id.
+SAMPLE = 1 << 17
+#: Vectors, and queries, of a cell, about.
+CELL, ASKED = 4096, 4096
+#: Candidates between two looks at the bound.
+STEP = 512
 BLOCK = 16
 CERTAINTY = 2.1
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (binary doubles), dim of the rows that take part: no nulls, all components finite, not all zero."""
+    """vec_id, row (a number of the row), v (binary doubles), dim of the rows that take part: no nulls, all components finite,
+    not all zero."""
 
     def run(batches):
         for batch in batches:
-            ids, keep, body, dims = batch.column(0).to_pylist(), [], [], []
-            column = batch.column(1)
-            flat, at = column.flatten(), np.concatenate([[0], np.cumsum(np.array([x or 0 for x in batch.column(2).to_pylist()], np.int64))])
-            values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component becomes NaN
-            for k, i in enumerate(ids):
-                v = values[at[k] : at[k + 1]]
-                if i is not None and len(v) and np.isfinite(v).all() and v.any():
-                    keep.append(i)
-                    body.append(v.tobytes())
-                    dims.append(len(v))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(body, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "v", "dim"])
-
-    length = F.when(F.col(vector_col).isNotNull(), F.size(vector_col)).otherwise(0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"), length.alias("n")).mapInArrow(run, "vec_id long, v binary, dim int")
+            at = np.concatenate([[0], np.cumsum(batch.column(3).to_numpy().astype(np.int64))]) * 8
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            body = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body.cast(pa.binary()), batch.column(3)], ["vec_id", "row", "v", "dim"])
+
+    e = F.col("e")
+    whole = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), vectors[vector_col].cast("array<double>").alias("e"))
+    taking = rows.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(whole & F.exists(e, lambda x: x != 0))
+    return taking.select("vec_id", "row", "e", F.size("e").alias("dim")).mapInArrow(run, "vec_id long, row long, v binary, dim int")
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -71,8 +75,8 @@ def nearest(points: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
 
 
 def probes_for(points: np.ndarray, c: np.ndarray, k: int, aim: float, queries: int = 256) -> int:
-    """How many lists hold the share aim of the k nearest, by brute force within the sample."""
-    asked = points[: min(queries, len(points))]
+    """How many lists hold the share aim of the k nearest, by brute force within the sample of distinct points."""
+    asked = points[np.random.default_rng(4).permutation(len(points))[:queries]]
     own = nearest(points, c, 1)[:, 0]
     order = nearest(asked, c, len(c))
     rank = np.empty_like(order)
@@ -81,109 +85,146 @@ def probes_for(points: np.ndarray, c: np.ndarray, k: int, aim: float, queries: i
     norms = (points * points).sum(1)
     for j, q in enumerate(asked):
         d = norms - 2 * points @ q
-        d[j] = np.inf
-        near = np.argpartition(d, min(k, len(d) - 1))[:k]
+        near = np.argpartition(d, min(k + 1, len(d) - 1))[: k + 1]  # the point itself is in its nearest list
         found.append(rank[j, own[near]])
     return min(len(c), int(np.quantile(np.concatenate(found), aim)) + 1)
 
 
-def scan_cell(ids: np.ndarray, original: np.ndarray, blocks: list[np.ndarray], norms: np.ndarray, query_id: int, query: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a cell for a query: ids and distances, ties to the smaller id. ids ascend."""
-
-    def measure(rows):
-        return np.sqrt(((original[rows] - query) ** 2).sum(1))
-
-    live = np.flatnonzero(ids != query_id)
-    first, live = live[: 4 * k], live[4 * k :]
-    found, distance = first, measure(first)
-    if len(live) and len(found) >= k:
-        dim = len(turned)
-        bound = float(np.partition(distance, k - 1)[k - 1]) ** 2
-        slack = 1e-5 * (float(turned @ turned) + norms[live])  # rounding of the rotated floats
-        partial = np.zeros(len(live), np.float32)
-        at = 0
-        for b in blocks:
-            d = at + b.shape[1]
-            partial = partial + ((b[live] - turned[at:d]) ** 2).sum(1)
-            factor = 1.0 if d == dim else (1 + CERTAINTY / np.sqrt(d)) ** 2
-            stay = partial * (dim / d) <= bound * factor + slack
-            live, partial, slack = live[stay], partial[stay], slack[stay]
-            at = d
-            if not len(live):
-                break
-    found, distance = np.concatenate([found, live]), np.concatenate([distance, measure(live)])
-    order = np.lexsort((ids[found], distance))[:k]
-    return ids[found[order]], distance[order]
-
-
+def scan_cell(ids: np.ndarray, rows: np.ndarray, original: np.ndarray, blocks: list[np.ndarray], norms: np.ndarray, query: np.ndarray, turned: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of a cell for a query that are not beyond bound: positions and distances, ties to the smaller id, row."""
+    dim = len(turned)
+    found, distance = np.zeros(0, np.int64), np.zeros(0)
+    rounding = 1e-5 * float(turned @ turned)  # of the rotated floats
+    for first in range(0, len(ids), STEP):
+        live = np.arange(first, min(first + STEP, len(ids)))
+        if np.isfinite(bound):
+            slack = rounding + 1e-5 * norms[live]
+            partial, at = np.zeros(len(live), np.float32), 0
+            for b in blocks:
+                d = at + b.shape[1]
+                partial = partial + ((b[live] - turned[at:d]) ** 2).sum(1)
+                factor = 1.0 if d == dim else (1 + CERTAINTY / np.sqrt(d)) ** 2
+                stay = partial * (dim / d) <= bound * bound * factor + slack
+                live, partial, slack = live[stay], partial[stay], slack[stay]
+                at = d
+                if not len(live):
+                    break
+        if not len(live):
+            continue
+        found, distance = np.concatenate([found, live]), np.concatenate([distance, np.sqrt(((original[live] - query) ** 2).sum(1))])
+        best = np.lexsort((rows[found], ids[found], distance))[:k]
+        found, distance = found[best], distance[best]
+        if len(found) == k:
+            bound = min(bound, float(distance[-1]))
+    return found, distance
+
+
+@tidy
 def search(vectors: DataFrame, query_every: int = 100, k: int = 10, aim: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query (ids divisible by query_every) among the other vectors.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without an id, and those
-    of another dimension than most have (of equally frequent dimensions the smallest counts). Repeated ids are one vector
-    each. With fewer other vectors than k a query has all of them; an empty table gives no rows; no other columns are read.
+    of another dimension than most have (of equally frequent dimensions the smallest counts). Rows count one by one: one that
+    repeats an id is a vector of its own, also for the queries of that id. Every query has k rows, or all others if there are
+    fewer; an empty table gives no rows; no other columns are read.
     """
     spark = vectors.sparkSession
     rows = kept(valid(vectors, id_col, vector_col))
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = dims["dim"], dims["count"]
-    rows = rows.where(F.col("dim") == dim)
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
+    dim = dims["dim"]
+    rows = rows.where(F.col("dim") == dim).withColumn("h", F.xxhash64("v"))
+    equal = Window.partitionBy("h", "v").orderBy("vec_id", "row")
+    base = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1)
+    base = kept(base.select("vec_id", "row", "v", "h", "copy"))
+    classes = base.where("copy = 1").select("h", "v", F.col("row").alias("class"))
+    members = kept(lookup(rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "row", "h", "v"), classes, ["h", "v"]).select("vec_id", "row", "class"))
+    n = base.count()
+    lists = max(1, min(1 << 14, int(n**0.5), SAMPLE // 16))
+    few = classes.orderBy("h", "class").limit(16 * lists).select("v").toArrow().column(0).to_pylist()
     turn = rotation(dim)
     points = (np.frombuffer(b"".join(few)).reshape(-1, dim) @ turn).astype(np.float32)
-    lists = max(1, min(1 << 14, int(n**0.5), len(points) // 16))
-    c = centres(points, lists)
+    c = centres(points, max(1, min(lists, len(points) // 16)))
     probes = probes_for(points, c, k, aim)
     sent = spark.sparkContext.broadcast((turn, c))
 
     def assign(batches):
         turn, c = sent.value
         for batch in batches:
-            v = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
+            v = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, dim)
             own = nearest((v @ turn).astype(np.float32), c, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], ["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], ["vec_id", "row", "v", "list"])
 
-    assigned = kept(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v binary, list int"))
-    cells = assigned.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))  # at most one row a list
-    base = assigned.join(F.broadcast(cells), "list").select("list", F.pmod(F.xxhash64("vec_id"), "cells").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
+    assigned = kept(base.select("vec_id", "row", "v").mapInArrow(assign, "vec_id long, row long, v binary, list int"))
+    sizes = np.zeros(len(c), np.int64)  # one count a list
+    for r in assigned.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(sizes)
 
     def probe(batches):
-        turn, c = sent.value
+        (turn, c), sizes = sent.value, held.value
         for batch in batches:
             v = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
-            own = nearest((v @ turn).astype(np.float32), c, min(probes, len(c)))
-            at = np.repeat(np.arange(len(v)), own.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(own.ravel().astype(np.int32))], ["vec_id", "v", "list"])
-
-    asked = assigned.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "v").mapInArrow(probe, "vec_id long, v binary, list int")
-    routed = asked.join(F.broadcast(cells), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
-
-    def run(batches):
-        turn, _ = sent.value
-        cell, held, ready = None, [], None
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for a, b, kind, i, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (a, b) != cell:
-                    cell, held, ready = (a, b), [], None
-                if kind == 0:
-                    held.append((i, v))
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    ids, original = np.array([x for x, _ in held]), np.frombuffer(b"".join([y for _, y in held])).reshape(-1, dim)
-                    turned = (original @ turn).astype(np.float32)
-                    ready = ids, original, [np.ascontiguousarray(turned[:, x : x + BLOCK]) for x in range(0, dim, BLOCK)], (turned * turned).sum(1)
-                q = np.frombuffer(v)
-                near, score = scan_cell(*ready, i, q, (q @ turn).astype(np.float32), k)
-                for col, x in zip(out, ([i] * len(near), near.tolist(), score.tolist()), strict=True):
-                    col.extend(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = base.unionByName(routed).repartition(2 * shuffle_width(spark), "list", "part").sortWithinPartitions("list", "part", "kind", "vec_id")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out = []
+            for a in range(0, len(v), 1024):
+                order = nearest((v[a : a + 1024] @ turn).astype(np.float32), c, len(c)) if len(c) > 1 else np.zeros((len(v[a : a + 1024]), 1), np.int64)
+                before = np.cumsum(sizes[order], 1) - sizes[order]
+                wanted = ((np.arange(len(c)) < probes) | (before < 4 * (k + 1))) & (sizes[order] > 0)
+                q, place = np.nonzero(wanted)
+                nearer = np.cumsum(wanted, 1)[q, place]
+                out.append((q + a, order[q, place], nearer > 1))
+            at, own, later = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 3))
+            take = pa.array(at.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own.astype(np.int32)), pa.array(later.astype(bool))], ["class", "v", "list", "later"])
+
+    asked = members.select("class").distinct().join(classes, "class").select("class", "v")
+    routes = kept(asked.mapInArrow(probe, "class long, v binary, list int, later boolean"))
+
+    def scan(queries: DataFrame) -> DataFrame:
+        """class, vec_id, row, score: the nearest of each cell of the queries' lists, queries in groups of about ASKED."""
+        groups = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("groups"))
+        cells = spark.createDataFrame([(int(j), -(-int(x) // CELL)) for j, x in enumerate(sizes) if x], "list int, cells long").join(groups, "list")
+        cells = F.broadcast(cells)  # a row a list
+        per_cell = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+        per_group = F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)
+        here = assigned.join(cells, "list").select("list", F.pmod(F.xxhash64("row"), "cells").alias("part"), F.explode(per_group).alias("group"), F.lit(0).alias("kind"), "vec_id", "row", "v", F.lit(None).cast("double").alias("bound"))
+        there = queries.join(cells, "list").select("list", F.explode(per_cell).alias("part"), F.pmod(F.xxhash64("class"), "groups").alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.col("class").alias("row"), "v", "bound")
+
+        def run(batches):
+            turn, _ = sent.value
+            cell, held, ready = None, [], None
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                for a, b, g, kind, i, row, v, bound in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    if (a, b, g) != cell:
+                        cell, held, ready = (a, b, g), [], None
+                    if kind == 0:
+                        held.append((i, row, v))
+                        continue
+                    if not held:
+                        continue
+                    if ready is None:
+                        ids, own, original = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.frombuffer(b"".join([x[2] for x in held])).reshape(-1, dim)
+                        turned = (original @ turn).astype(np.float32)
+                        ready = ids, own, original, [np.ascontiguousarray(turned[:, x : x + BLOCK]) for x in range(0, dim, BLOCK)], (turned * turned).sum(1)
+                    q = np.frombuffer(v)
+                    near, score = scan_cell(*ready, q, (q @ turn).astype(np.float32), k + 1, np.inf if bound is None else bound)
+                    for col, x in zip(out, ([row] * len(near), ready[0][near].tolist(), ready[1][near].tolist(), score.tolist()), strict=True):
+                        col.extend(x)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], ["class", "vec_id", "row", "score"])
+
+        place = ["list", "part", "group"]
+        met = here.unionByName(there).repartition(2 * shuffle_width(spark), *place).sortWithinPartitions(*place, "kind", "vec_id", "row")
+        found = met.select(*place, "kind", "vec_id", "row", "v", "bound").mapInArrow(run, "class long, vec_id long, row long, score double")
+        best = F.row_number().over(Window.partitionBy("class").orderBy("score", "vec_id", "row"))
+        return kept(found.withColumn("rank", best).where(F.col("rank") <= k + 1).drop("rank"))
+
+    nearby = scan(routes.where("not later").withColumn("bound", F.lit(None).cast("double")))
+    bounds = nearby.groupBy("class").agg(F.when(F.count(F.lit(1)) > k, F.max("score")).alias("bound"))
+    farther = scan(routes.where("later").join(bounds, "class", "left"))
+    best = F.row_number().over(Window.partitionBy("class").orderBy("score", "vec_id", "row"))
+    both = nearby.unionByName(farther).withColumn("rank", best).where(F.col("rank") <= k + 1)
+    answers = cut(both.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "row"))).alias("near")))  # k + 1 at most
+    own = lookup(members, answers, ["class"]).select("vec_id", F.slice(F.filter("near", lambda x: x["row"] != F.col("row")), 1, k).alias("near"))
+    return own.select(F.col("vec_id").alias("query_id"), F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
