@@ -28,7 +28,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100, links=True)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, free_name, raw, slices
+from .common import crc_bucket, free_name, raw, slices, tidy
 
 UNDETERMINED = "und"
 _VOTES = np.zeros(256, bool)
@@ -187,6 +187,7 @@ def _held_out(docs: DataFrame, held_out: Column | None, id_col: str) -> Column:
     return F.coalesce(crc_bucket(docs[id_col], 3) == 1 if held_out is None else held_out, F.lit(False))
 
 
+@tidy
 def label(docs: DataFrame, held_out: Column | None = None, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
     """Every row of docs, with its columns (or those named) and two more at the end: identify()'s lang_pred and score, with
     underscores before names that docs has."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import cut, kept, raw, slices
+from .common import cut, kept, raw, slices, tidy
 
 # Fixed value: how the byte-level vocabulary cuts text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -150,6 +150,7 @@ def pack(parts: DataFrame, size: int = 1024) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)).unionByName(whole)
 
 
+@tidy
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids, sequence_id and offset of every piece.
 
