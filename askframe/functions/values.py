@@ -219,8 +219,9 @@ class Value:
         return F.when(self.tag == "arr", F.try_variant_get(self.column, "$", "array<variant>"))
 
 
-def equal(a: Value, b: Value) -> Column:
-    """Two-valued equality: null equals null, no boolean equals a number, numbers compare as doubles, lists in depth."""
+def equal(a: Value, b: Value, item: bool = False) -> Column:
+    """Two-valued equality: null equals null, no boolean equals a number, numbers compare as doubles, lists in depth by value;
+    an item of a list by its canonical text, as no Python runs within a list's functions."""
     if "json" not in (a.kind, b.kind):
         if a.kind == b.kind and a.kind != "null":
             return a.column.eqNullSafe(b.column)
@@ -228,7 +229,8 @@ def equal(a: Value, b: Value) -> Column:
     ta, tb = a.tag, b.tag
     same = F.when(ta == "num", a.num == b.num).when(ta == "str", a.text == b.text).when(ta == "bool", a.flag == b.flag)
     if a.kind == b.kind == "json":
-        same = same.when(ta.isin("arr", "obj"), a.canonical == b.canonical)
+        deep = ta.isin("arr", "obj") & (ta == tb)
+        same = same.when(deep, a.canonical == b.canonical if item else json_order(F.when(deep, a.canonical)) == json_order(F.when(deep, b.canonical)))
     return F.coalesce(F.when(ta != tb, False).when(ta == "null", True).otherwise(same), F.lit(False))
 
 

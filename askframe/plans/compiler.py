@@ -120,7 +120,7 @@ class Compiler:
         within = F.coalesce(v[0].string.contains(v[1].string), F.lit(False))
         if v[0].kind != "json":
             return Value("bool", within)
-        member = F.exists(v[0].items, lambda x: equal(Value("json", x), v[1]))
+        member = F.exists(v[0].items, lambda x: equal(Value("json", x), v[1], item=True))
         return Value("bool", F.coalesce(F.when(v[0].tag == "arr", member).otherwise(within), F.lit(False)))
 
     def _listed(self, call: Call, rule_value, rule_item) -> Column:

@@ -342,3 +342,9 @@ def test_store(spark, tmp_path):
         store.verify(rows.where("key = '1'"), want)
     with pytest.raises(Refusal):
         store.save(rows.union(rows), str(tmp_path / "t"))
+
+
+def test_lists_are_equal_by_value(spark):
+    own = json_records(spark, ['{"a": [1, {"x": 100}], "b": [1.0, {"x": 1e2}]}', '{"a": [1, 2], "b": [2, 1]}', '{"a": [], "b": {}}', '{"a": {"p": 1, "q": 2}, "b": {"q": 2, "p": 1.0}}', '{"a": [1], "b": 1}'])
+    got = own.frame.orderBy("key").select(compile_value("$.a == $.b", own).column, compile_value("$.a != $.b", own).column).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, True), (False, True), (True, False), (False, True)]
