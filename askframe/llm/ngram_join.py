@@ -134,18 +134,19 @@ def _batch(kind: int, *cols, x: pa.Array | None = None, y: pa.Array | None = Non
 
 
 def _packed(sig: np.ndarray, of: np.ndarray, buckets: int, base: int | None):
-    """Signatures of a chunk, equal ones joined, as rows of kinds 1 and 2. of: classes; with base, they are below base plus
-    CHUNK_ROWS, and their distance to it is kept; else they are kept whole, and base is null."""
+    """Signatures of a chunk as rows of kind 1. of: classes; with base, they are below base plus CHUNK_ROWS, their distance to
+    it is kept, and equal signatures are joined, which rows of kind 2 tell; else classes are kept whole, and base is null."""
     bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     key = bucket << np.uint64(40) | sig & np.uint64((1 << 40) - 1)
     order = np.lexsort((of, key))
     key, of = key[order], of[order]
-    new = np.append(True, key[1:] != key[:-1])
-    leader = of[new][np.cumsum(new) - 1]
-    pairs = forest(np.stack([of, leader], 1)[of != leader])
-    if len(pairs):
-        yield _batch(2, pairs[:, 0], pairs[:, 1])
-    key, of = key[new], of[new]
+    if base is not None:
+        new = np.append(True, key[1:] != key[:-1])
+        leader = of[new][np.cumsum(new) - 1]
+        pairs = forest(np.stack([of, leader], 1)[of != leader])
+        if len(pairs):
+            yield _batch(2, pairs[:, 0], pairs[:, 1])
+        key, of = key[new], of[new]
     low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<i8") if base is None else (of - base).astype("<u2")
     edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
     own = key[edge[:-1]] >> np.uint64(40)
@@ -219,7 +220,8 @@ def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFram
 
 
 def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Rows of kinds 1 and 2 of sets (rid, block, grams), by steps of how frequent n-grams are among them."""
+    """Rows of kind 1 of sets (rid, block, grams), by steps of how frequent n-grams are among them, as far as they repeat within
+    a few thousand sets."""
     spark = sets.sparkSession
 
     def count(batches):
@@ -227,7 +229,7 @@ def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             grams = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
             for a in range(0, len(grams), 4096):
                 gram, n = np.unique(np.concatenate(grams[a : a + 4096]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1]), pa.array(n[n > 1])], ["gram", "n"])
 
     counts = sets.select("grams").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= TIER)
     frequent = most_frequent(kept(counts), "n", F.col("gram"), FREQUENT).toPandas()
@@ -285,7 +287,7 @@ def _links(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _meet(signed: DataFrame) -> DataFrame:
+def _meet(signed: DataFrame, joined: bool = True) -> DataFrame:
     """a, b: pairs of classes that connect all that share a signature."""
 
     def run(batches):
@@ -324,7 +326,8 @@ def _meet(signed: DataFrame) -> DataFrame:
 
     packed = signed.where("kind = 1").select(F.col("a").alias("bucket"), "b", "x", "y")
     dealt = packed.repartition(shuffle_width(signed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a long, b long").union(signed.where("kind = 2").select("a", "b"))
+    met = dealt.mapInArrow(run, "a long, b long")
+    return met.union(signed.where("kind = 2").select("a", "b")) if joined else met
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -537,9 +540,7 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     sets = kept(_with_grams(rows, sized.select("rid", "block"), n))
     if large.take(1):
         of_large = sets.join(F.broadcast(large), "block", "left_semi")  # a block of over CELL n-grams each
-        anew = kept(_sign_rare(of_large, num, den, buckets))
-        refined = cut(components(_meet(anew))).select(F.col("node").alias("rid"), F.col("root").alias("part_of"))
-        discard(anew)
+        refined = cut(components(_meet(_sign_rare(of_large, num, den, buckets), False))).select(F.col("node").alias("rid"), F.col("root").alias("part_of"))
         sized = cut(sized.join(F.broadcast(large).withColumn("cut", F.lit(True)), "block", "left").join(refined, "rid", "left").where("cut is null or part_of is not null").withColumn("block", F.coalesce("part_of", "block")).select("rid", "block", "size", "digest", "weight"))
     cells = sized.groupBy("block").agg(F.ceil(F.sum("size") / CELL).alias("cells"))
     placed = cut(lookup(sized, cells, ["block"]).select("rid", "block", "cells", F.pmod("digest", "cells").alias("part"), "weight"))
