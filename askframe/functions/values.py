@@ -111,10 +111,18 @@ class Value:
     column: Column
     exact: Column | None = None  # the number as a decimal, of typed columns
     instant: Column | None = None  # the moment, of typed times
+    branches: tuple = ()  # of a choice between kinds: (test, value), the first test that holds; readings go to the values
+
+    def _chosen(self, read, none: Column) -> Column:
+        for test, value in reversed(self.branches):
+            none = F.when(test, read(value)).otherwise(none)
+        return none
 
     @property
     def tag(self) -> Column:
         """null, bool, num, str, arr or obj in each row."""
+        if self.branches:
+            return self._chosen(lambda v: v.tag, F.lit("null"))
         if self.kind != "json":
             return F.when(self.column.isNull(), "null").otherwise(self.kind) if self.kind != "null" else F.lit("null")
         shape = F.schema_of_variant(self.column)
@@ -126,6 +134,8 @@ class Value:
         return self.tag == "null" if self.kind == "json" else F.lit(True) if self.kind == "null" else self.column.isNull()
 
     def _of(self, kind: str, spark_type: str) -> Column:
+        if self.branches:
+            return self._chosen(lambda v: v._of(kind, spark_type), F.lit(None).cast(spark_type))
         if self.kind == "json":
             return F.when(self.tag == kind, F.try_variant_get(self.column, "$", spark_type))
         return self.column if self.kind == kind else F.lit(None).cast(spark_type)
@@ -154,6 +164,8 @@ class Value:
     @property
     def held(self) -> Column:
         """As decimal, but null of a number that isn't held exactly."""
+        if self.branches:
+            return self._chosen(lambda v: v.held, F.lit(None).cast(DECIMAL))
         if self.exact is not None:
             return self.exact
         if self.kind == "json":
@@ -173,6 +185,8 @@ class Value:
     @property
     def number(self) -> Column:
         """What arithmetic reads: a number, 1 or 0 of a boolean, or a text that is a decimal."""
+        if self.branches:
+            return self._chosen(lambda v: v.number, F.lit(None).cast("double"))
         if self.kind == "num":
             return self.column
         if self.kind == "bool":
@@ -186,6 +200,8 @@ class Value:
     @property
     def truthy(self) -> Column:
         """false for null, false, 0, empty text, empty list and empty group; never null."""
+        if self.branches:
+            return self._chosen(lambda v: v.truthy, F.lit(False))
         if self.kind == "bool":
             return F.coalesce(self.column, F.lit(False))
         if self.kind == "num":
@@ -201,6 +217,8 @@ class Value:
     @property
     def string(self) -> Column:
         """The text form: text itself, true/false, a number's shortest text; null of lists and groups."""
+        if self.branches:
+            return self._chosen(lambda v: v.string, F.lit(None).cast("string"))
         if self.kind == "str":
             return self.column
         if self.kind == "num":

@@ -161,7 +161,7 @@ class Compiler:
         for test, v in reversed(list(zip(tests, values, strict=True))):
             column = v.column if v.kind == kind else F.lit(None).cast(sql) if v.kind == "null" and kind != "json" else _as_json(v)
             out = F.when(test, column).otherwise(out)
-        return Value(kind, out)
+        return Value(kind, out, branches=tuple(zip(tests, values, strict=True)) if kind == "json" else ())
 
     def f_coalesce(self, c):
         values = [self.value(a) for a in c.args]
