@@ -33,7 +33,7 @@ from .common import cut, discard, kept, lookup, mix64, most_frequent, numbered,
 #: N-grams that a cell of a block holds, about; a class with more makes a cell of its own.
 CELL = 1 << 19
 #: Signatures, and rows, of a chunk; bytes of text for which there is a bucket of signatures.
-CHUNK, CHUNK_ROWS, BUCKET = 1 << 21, 1 << 16, 64 << 20
+CHUNK, CHUNK_ROWS, BUCKET = 1 << 20, 1 << 16, 64 << 20
 #: Classes to look at that are broadcast; more are joined by a shuffle, for which a Bloom filter spares other texts.
 FEW = 1 << 18
 #: Edges whose components one task finds; more take rounds of joins.
