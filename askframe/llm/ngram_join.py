@@ -8,13 +8,16 @@
    lower band's number of parts. A map task joins equal signatures itself and sends one of each on, packed: a row a bucket,
    with 5 bytes a signature and 2 for its class's place in the chunk. Common words and shared passages bring nothing
    together here: a whole random part of the set must agree.
-3. Classes connected by signatures form a block. One that is larger than a cell is mostly held together by passages that many
-   texts share; there, the block's frequent n-grams are counted and its classes sign anew, first only with the n-grams that
-   are rare, and with ever more frequent ones only where those don't fill more parts than may differ. As both sets of a
-   linked pair then sign at the first step at which one of them has parts enough, no link is lost, whatever is counted as
-   frequent. Blocks are cut into cells of bounded size. In a cell DivideSkip finds each set's
-   partners: of its inverted lists the short ones are merged, candidates that occur often enough are probed in the long ones
-   by binary search (or these are merged too, where that is less work), and who reaches the overlap is linked.
+   So that passages that many texts share don't either, frequent n-grams are counted first, and classes sign with those that
+   are rare, and with ever more frequent ones only where the rare ones don't fill more parts than may differ. As both sets
+   of a linked pair then sign at the first step at which one of them has parts enough, no link is lost, whatever is counted
+   as frequent.
+3. Classes connected by signatures form a block. Its classes sign anew with their n-grams dealt into other parts, for their
+   block alone, and what that doesn't connect falls apart; no link is lost, as a linked pair agrees in any dealing. Blocks
+   are cut into cells of bounded size. Until a cell is searched its sets travel as texts, which take a third of the
+   n-grams' room and aren't kept. In a cell DivideSkip finds each set's partners: of its inverted lists the short ones are
+   merged, candidates that occur often enough are probed in the long ones by binary search (or these are merged too, where
+   that is less work), and who reaches the overlap is linked.
 4. For the number of links every two cells of a block meet. For components alone a block's first class is in each of its
    cells, and only classes outside the block's largest component then meet its other cells.
 5. Links give components; every row gets its class's.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,10 @@ CHUNK, CHUNK_ROWS, BUCKET = 1 << 20, 1 << 16, 64 << 20
 FEW = 1 << 18
 #: Edges whose components one task finds; more take rounds of joins.
 ONE_TASK = 1 << 17
-#: Occurrences from which an n-gram of a large block counts as frequent, steps of eight times as many each, and how many of the
-#: most frequent n-grams are broadcast. They don't alter results.
+#: Occurrences from which an n-gram counts as frequent, steps of eight times as many each, and how many of the most frequent
+#: n-grams are broadcast. Sets, and n-grams, within which occurrences are counted. How often blocks sign anew. None alters results.
 TIER, TIERS, FREQUENT = 8, 6, 1 << 20
+COUNTED, COUNTED_GRAMS, AGAIN = 8192, 1 << 21, 2
 SIGNED = "kind int, a long, b long, c long, d long, e long, w long, x binary, y binary"
 
 
@@ -79,8 +84,8 @@ def bands(size: int, num: int, den: int) -> list[int]:
     return ends
 
 
-def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int, tier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the parts of each row's set, and their rows.
+def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int, tier: np.ndarray | None = None, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the parts of each row's set, and their rows. deal: which of the ways to deal n-grams into parts.
 
     A band has a few parts more than may differ. Of the parts that agree in a linked pair some may be empty in both; a set that
     fills more parts than may differ has one among them that isn't. If neither does, both sign their prefix, the smallest
@@ -96,6 +101,7 @@ def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int, tier:
     band = np.searchsorted(ends, size, "right") - 1
     row = np.repeat(np.arange(len(size)), size)
     spread = mix64(gram + np.uint64(0x5851F42D4C957F2D))
+    dealt = mix64(gram + np.uint64(deal)) if deal else gram
     out, of = [], []
     for lower in (0, 1):
         own = band - lower
@@ -105,7 +111,7 @@ def _signatures(gram: np.ndarray, offsets: np.ndarray, num: int, den: int, tier:
         part_row = np.repeat(np.arange(len(m)), m)
         for step in range(1 if tier is None else TIERS):
             mine = np.flatnonzero(active[row] if tier is None else active[row] & (tier <= step))
-            at = base[row[mine]] + (gram[mine] % m[row[mine]].astype(np.uint64)).astype(np.int64)
+            at = base[row[mine]] + (dealt[mine] % m[row[mine]].astype(np.uint64)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             at, value = at[order], spread[mine][order]
             filled = np.zeros(len(m), np.int64)
@@ -165,7 +171,7 @@ class _Chunk:
         self.of: list[np.ndarray] = []
         self.seen = np.zeros(0, np.int64)
 
-    def add(self, rid: np.ndarray, ids: pa.Array, gram: np.ndarray, at: np.ndarray, num: int, den: int) -> None:
+    def add(self, rid: np.ndarray, ids: pa.Array, gram: np.ndarray, at: np.ndarray, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> None:
         size = np.diff(at)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(gram), dtype=np.uint64)])
         digest = mix64((sums[at[1:]] - sums[at[:-1]]) ^ (size.astype(np.uint64) << np.uint64(40))).view(np.int64)
@@ -176,7 +182,7 @@ class _Chunk:
         self.seen = np.concatenate([self.seen, digest[new]])
         if len(new):
             pick = np.concatenate([np.arange(at[k], at[k + 1]) for k in new])
-            sig, of = _signatures(gram[pick], np.concatenate([[0], np.cumsum(size[new])]), num, den)
+            sig, of = _signatures(gram[pick], np.concatenate([[0], np.cumsum(size[new])]), num, den, _tier(gram[pick], frequent))
             self.signatures.append(sig)
             self.of.append(rid[new][of])
             self.held += len(sig)
@@ -193,7 +199,45 @@ class _Chunk:
             yield from _packed(np.concatenate(self.signatures), np.concatenate(self.of), self.buckets, self.base)
 
 
-def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of rows (text) that are frequent, as far as they repeat within some thousand sets, sorted, and each one's tier."""
+
+    def run(batches):
+        grams, sets, size = [], 0, 0
+
+        def counted():
+            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
+
+        for batch in batches:
+            data, offsets = raw(batch.column(0))
+            for a, b in slices(offsets):
+                grams.append(shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)[0])
+                sets, size = sets + b - a, size + len(grams[-1])
+                if sets >= COUNTED or size >= COUNTED_GRAMS:
+                    yield counted()
+                    grams, sets, size = [], 0, 0
+        if grams:
+            yield counted()
+
+    counts = rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= TIER)
+    counts = kept(counts)
+    found = most_frequent(counts, "n", F.col("gram"), FREQUENT).toPandas()
+    discard(counts)
+    known = found["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.minimum(np.log2(found["n"].to_numpy()[order] / TIER + 1e-9) // 3 + 1, TIERS - 1).astype(np.int8)
+
+
+def _tier(gram: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, tiers = frequent
+    if not len(known):
+        return np.zeros(len(gram), np.int8)
+    k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+    return np.where(known[k] == gram, tiers[k], 0)
+
+
+def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int, frequent: Broadcast) -> DataFrame:
     """rows: rid, id, text. Rows of three kinds: 0 a row (a: rid, b: its class, c: set size, d: the set's digest, e: id, w:
     rows of the class in the chunk), 1 signatures (a: bucket, b: first rid of the chunk, x, y), 2 a link to look into (a, b)."""
 
@@ -211,7 +255,7 @@ def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFram
                     far = (rids[a:b] < base) | (rids[a:b] >= base + CHUNK_ROWS)  # rids ascend within a file, files may not
                     to = a + int(far.argmax()) if far.any() else b
                     gram, at = shingles(data[offsets[a] : offsets[to]], offsets[a : to + 1] - offsets[a], n)
-                    chunk.add(rids[a:to], batch.column(1).slice(a, to - a), gram, at, num, den)
+                    chunk.add(rids[a:to], batch.column(1).slice(a, to - a), gram, at, num, den, frequent.value)
                     a = to
         if chunk.base is not None:
             yield from chunk.out()
@@ -219,38 +263,17 @@ def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFram
     return rows.select("rid", "id", "text").mapInArrow(run, SIGNED)
 
 
-def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Rows of kind 1 of sets (rid, block, grams), by steps of how frequent n-grams are among them, as far as they repeat within
-    a few thousand sets."""
-    spark = sets.sparkSession
-
-    def count(batches):
-        for batch in batches:
-            grams = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-            for a in range(0, len(grams), 4096):
-                gram, n = np.unique(np.concatenate(grams[a : a + 4096]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1]), pa.array(n[n > 1])], ["gram", "n"])
-
-    counts = sets.select("grams").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= TIER)
-    frequent = most_frequent(kept(counts), "n", F.col("gram"), FREQUENT).toPandas()
-    known = frequent["gram"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    tiers = np.minimum(np.log2(frequent["n"].to_numpy()[order] / TIER + 1e-9) // 3 + 1, TIERS - 1).astype(np.int8)
-    sent = spark.sparkContext.broadcast((known[order], tiers))
+def _sign_again(sets: DataFrame, n: int, num: int, den: int, buckets: int, frequent: Broadcast, deal: int) -> DataFrame:
+    """Rows of kind 1 of sets (rid, text, block), whose signatures agree within a block alone."""
 
     def run(batches):
-        known, tiers = sent.value
         signatures, classes, held = [], [], 0
         for batch in batches:
-            rids, blocks, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_pylist()
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in grams])])
-            for a, b in slices(offsets, 1 << 18):
-                gram = np.frombuffer(b"".join(grams[a:b]), np.uint64)
-                tier = np.zeros(len(gram), np.int8)
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                    tier = np.where(known[k] == gram, tiers[k], 0)
-                sig, of = _signatures(gram, offsets[a : b + 1] - offsets[a], num, den, tier)
+            rids, blocks = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            data, offsets = raw(batch.column(1))
+            for a, b in slices(offsets):
+                gram, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                sig, of = _signatures(gram, at, num, den, _tier(gram, frequent.value), deal)
                 signatures.append(sig ^ mix64(blocks[a:b][of] + np.uint64(7)))
                 classes.append(rids[a:b][of])
                 held += len(sig)
@@ -260,7 +283,7 @@ def _sign_rare(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
         if held:
             yield from _packed(np.concatenate(signatures), np.concatenate(classes), buckets, None)
 
-    return sets.select("rid", "block", "grams").mapInArrow(run, SIGNED)
+    return sets.select("rid", "text", "block").mapInArrow(run, SIGNED)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -438,10 +461,10 @@ def _merged(member: np.ndarray, start: np.ndarray, lists: np.ndarray, length: np
     return times, all_[first]
 
 
-def _search(cells: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+def _search(cells: DataFrame, n: int, num: int, den: int, count: bool) -> DataFrame:
     """Links a, b of classes within every cell (root, lo, hi); with count also rows without b: w rows are linked with a's.
 
-    cells has root, lo, hi, part, rid, same (label of what is connected), weight and grams. Where lo and hi differ, only
+    cells has root, lo, hi, part, rid, same (label of what is connected), weight and text. Where lo and hi differ, only
     classes of different parts meet.
     """
 
@@ -465,43 +488,35 @@ def _search(cells: DataFrame, num: int, den: int, count: bool) -> DataFrame:
                 b += [own[k][0][0] for _, k in links]
             w += [None] * len(a)
             if count:
-                for members, n, more in zip(own, linked.tolist(), total.tolist(), strict=True):
+                for members, others, more in zip(own, linked.tolist(), total.tolist(), strict=True):
                     a += [x[0] for x in members]
                     b += [None] * len(members)
-                    w += [n if cross else n + more - 1] * len(members)
+                    w += [others if cross else others + more - 1] * len(members)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], ["a", "b", "w"])
 
         for batch in batches:
-            for root, lo, hi, part, rid, same, weight, grams in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (root, lo, hi) != cell:
-                    if held:
-                        yield finish()
-                    held, cell = {}, (root, lo, hi)
-                held.setdefault(grams, []).append((rid, same, weight, part))
+            data, offsets = raw(batch.column(7))
+            for start, end in slices(offsets):
+                gram, at = shingles(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], n)
+                for x, y, root, lo, hi, part, rid, same, weight in zip(at, at[1:], *(c.slice(start, end - start).to_pylist() for c in batch.columns[:7]), strict=False):
+                    if (root, lo, hi) != cell:
+                        if held:
+                            yield finish()
+                        held, cell = {}, (root, lo, hi)
+                    held.setdefault(gram[x:y].tobytes(), []).append((rid, same, weight, part))
         if held:
             yield finish()
 
     dealt = cells.repartition(shuffle_width(cells.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "rid")
-    return dealt.select("root", "lo", "hi", "part", "rid", "same", "weight", "grams").mapInArrow(run, "a long, b long, w long")
-
+    return dealt.select("root", "lo", "hi", "part", "rid", "same", "weight", "text").mapInArrow(run, "a long, b long, w long")
 
-def _with_grams(rows: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """placed (by rid) with each set's grams (binary), computed from the texts anew."""
-    columns = [f for f in placed.schema.fields if f.name != "rid"]
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = raw(batch.column(1))
-            for a, b in slices(offsets):
-                gram, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                body = [gram[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(c.slice(a, b - a) for c in batch.columns[2:]), pa.array(body, pa.binary())], ["rid", *batch.schema.names[2:], "grams"])
 
+def _with_texts(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (by rid) with each row's text, read anew."""
     wanted = placed.count()
     if wanted <= FEW:
-        own = rows.select("rid", "text").join(F.broadcast(placed), "rid").select("rid", "text", *(f.name for f in columns))
-        return own.mapInArrow(run, ", ".join(["rid long", *(f"{f.name} {f.dataType.simpleString()}" for f in columns), "grams binary"]))
-    return _passing(rows, placed, wanted).select("rid", "text").mapInArrow(run, "rid long, grams binary").join(placed, "rid")
+        return rows.select("rid", "text").join(F.broadcast(placed), "rid")
+    return _passing(rows, placed, wanted).join(placed, "rid")
 
 
 def _passing(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -529,35 +544,32 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     (rid, id, text), as a kept table."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_width(rows.sparkSession), size // BUCKET)
-    signed = kept(_sign(rows, n, num, den, buckets))
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, n))
+    signed = kept(_sign(rows, n, num, den, buckets, frequent))
     classes = signed.where("kind = 0").select(F.col("a").alias("rid"), F.col("e").alias("id"), F.col("b").alias("rep"), F.col("c").alias("size"), F.col("d").alias("digest"), F.col("w").alias("weight"))
     classes = kept(classes)
     blocks = cut(components(_meet(signed))).select(F.col("node").alias("rid"), F.col("root").alias("block"))
     discard(signed)
+    for deal in range(1, AGAIN + 1):
+        signed = _sign_again(_with_texts(rows, blocks), n, num, den, buckets, frequent, deal)
+        blocks = cut(components(_meet(signed, False))).select(F.col("node").alias("rid"), F.col("root").alias("block"))
     reps = classes.where("rid = rep").select("rid", "size", "digest", "weight")
     sized = cut(blocks.join(reps, "rid"))
-    large = cut(sized.groupBy("block").agg(F.sum("size").alias("grams")).where(F.col("grams") > CELL).select("block"))
-    sets = kept(_with_grams(rows, sized.select("rid", "block"), n))
-    if large.take(1):
-        of_large = sets.join(F.broadcast(large), "block", "left_semi")  # a block of over CELL n-grams each
-        refined = cut(components(_meet(_sign_rare(of_large, num, den, buckets), False))).select(F.col("node").alias("rid"), F.col("root").alias("part_of"))
-        sized = cut(sized.join(F.broadcast(large).withColumn("cut", F.lit(True)), "block", "left").join(refined, "rid", "left").where("cut is null or part_of is not null").withColumn("block", F.coalesce("part_of", "block")).select("rid", "block", "size", "digest", "weight"))
     cells = sized.groupBy("block").agg(F.ceil(F.sum("size") / CELL).alias("cells"))
     placed = cut(lookup(sized, cells, ["block"]).select("rid", "block", "cells", F.pmod("digest", "cells").alias("part"), "weight"))
     many = bool(placed.where("cells > 1").take(1))
-    grams, sets = sets, sets.select("rid", "grams").join(F.broadcast(placed) if placed.count() <= FEW else placed, "rid")
+    sets = _with_texts(rows, placed)
     place, other = F.col("part"), F.col("other")
     if count:
         spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-        met = spread.select(F.col("block").alias("root"), F.least(place, other).alias("lo"), F.greatest(place, other).alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams")
-        links = kept(_search(met, num, den, True))
+        met = spread.select(F.col("block").alias("root"), F.least(place, other).alias("lo"), F.greatest(place, other).alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "text")
+        links = kept(_search(met, n, num, den, True))
     else:
         everywhere = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
         spread = sets.withColumn("lo", F.explode(F.when(F.col("rid") == F.col("block"), everywhere).otherwise(F.array("part"))))
-        links = kept(_search(spread.select(F.col("block").alias("root"), "lo", F.col("lo").alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "grams"), num, den, False))
+        links = kept(_search(spread.select(F.col("block").alias("root"), "lo", F.col("lo").alias("hi"), "part", "rid", F.col("rid").alias("same"), "weight", "text"), n, num, den, False))
         if many:
-            links = kept(links.union(_across(placed.where("cells > 1").drop("weight"), sets, links, num, den)))
-    discard(grams)
+            links = kept(links.union(_across(placed.where("cells > 1"), rows, links, n, num, den)))
     linked = components(links.where("b is not null").select("a", "b"))
     own = classes.join(linked.withColumnsRenamed({"node": "rep"}), "rep", "left")
     n_links = F.lit(None).cast("long")
@@ -569,7 +581,7 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     return out
 
 
-def _across(placed: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def _across(placed: DataFrame, rows: DataFrame, links: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between cells of a block: what its largest component lacks meets every cell, so no pair but those inside that
     component stays unseen."""
     known = cut(placed.join(components(links.select("a", "b")).withColumnsRenamed({"node": "rid", "root": "same"}), "rid", "left").withColumn("same", F.coalesce("same", "rid")))
@@ -577,12 +589,11 @@ def _across(placed: DataFrame, sets: DataFrame, links: DataFrame, num: int, den:
     main = counts.groupBy("block").agg(F.max(F.struct("n", "same"))["same"].alias("main"))
     outside = known.join(main, "block").where("same != main")
     chunks = outside.select("block", F.col("part").alias("hi")).distinct()
-    base = known.join(chunks, "block").select("block", F.col("part").alias("lo"), "hi", F.lit(0).alias("part"), "rid", "same")
-    more = outside.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("lo"), F.col("part").alias("hi"), F.lit(1).alias("part"), "rid", "same")
+    base = known.join(chunks, "block").select("block", F.col("part").alias("lo"), "hi", F.lit(0).alias("part"), "rid", "same", "weight")
+    more = outside.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("lo"), F.col("part").alias("hi"), F.lit(1).alias("part"), "rid", "same", "weight")
     # in its own part an outsider has met all; in another it meets all of that part
-    apart = base.union(more).where("lo != hi")
-    rows = apart.join(sets.select("rid", "weight", "grams"), "rid").select(F.col("block").alias("root"), "lo", "hi", "part", "rid", "same", "weight", "grams")
-    return _search(rows, num, den, False)
+    apart = cut(base.union(more).where("lo != hi"))
+    return _search(_with_texts(rows, apart).withColumnRenamed("block", "root"), n, num, den, False)
 
 
 def _first(found: DataFrame) -> DataFrame:

@@ -246,6 +246,22 @@ def test_ngram_join(spark, odd, none, monkeypatch, cell, few, chunk, n, num, den
         assert {(1, 1), (2, 2), (3, 3), (5, 5), (6, 5), (7, 5)} <= found and ngram_join.join(none).count() == 0
 
 
+def test_shared_passages_bring_no_texts_together(spark, monkeypatch):
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = {k: passage + " " + " ".join(f"w{r.randint(0, 10**6)}" for _ in range(120)) for k in range(300)}
+    texts |= {300 + k: texts[k] + " more" for k in range(3)}
+    met, search, kept = [], ngram_join._search, ngram_join.kept
+    tables = []
+    monkeypatch.setattr(ngram_join, "_search", lambda cells, *settings: (met.append(cells.count()), search(cells, *settings))[1])
+    monkeypatch.setattr(ngram_join, "kept", lambda df, *codec: (tables.extend(df.columns), kept(df, *codec))[1])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    want = ngram_join.links_by_brute_force(texts, 5, 8, 10)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(rows, links=True).collect()} == want
+    assert sum(met) == 6  # before: all of a block smaller than a cell
+    assert "grams" not in tables
+
+
 def test_rows_without_or_with_repeated_ids_link(spark):
     r = random.Random(8)
     base = [f"w{k}" for k in range(200)]
