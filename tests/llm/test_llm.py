@@ -355,6 +355,34 @@ def test_lm_sums_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_tables_grow_with_any_vocabulary():
+    shape = lm.Shape()
+    assert [shape.fitted(v).rows * 4096 >= v for v in (0, 1 << 24, 1 << 28, (1 << 28) + 1, 1 << 32)] == [True] * 5
+    assert shape.fitted(1 << 24).rows == 1 << 12
+
+
+def test_every_word_follows_its_context():
+    """A word without a place of its own, among many such, gains where features speak for its class."""
+    names = common.mix64(np.arange(1, 5001, dtype=np.uint64))
+    rare = np.sort(names[2000:])
+    text = np.stack([names[lm.shared_class(rare, 4)], rare], 1).ravel()  # each rare word follows one that tells its class
+    h, c = np.unique(text, return_counts=True)
+    of, shape = lm.shared_class(h, 4), lm.Shape(batch=64)
+    model = lm.Model(shape, h, c, len(text), len(h), np.bincount(of, c, 4).astype(np.int64), np.bincount(of, minlength=4))
+    own = np.zeros(len(text), np.int64)
+    rows, before = model.features(own, text)
+    cls, place = model.targets(text, model.find(text))
+    tail = cls >= shape.classes - shape.shared
+    untrained = model.log_p(rows, before, cls, place)[tail].mean()
+    class_sq = np.zeros_like(model.class_w)
+    for k in range(0, len(text), shape.batch):
+        s = slice(k, k + shape.batch)
+        _, e, _, _ = model.log_p(rows[:, s], before[s], cls[s], place[s], gradient=True)
+        for j in range(3):
+            lm._added(model.class_w[j * shape.rows : (j + 1) * shape.rows], class_sq[j * shape.rows : (j + 1) * shape.rows], rows[j, s] - j * shape.rows, e, shape.rate)
+    assert tail.sum() > 2000 and model.log_p(rows, before, cls, place)[tail].mean() > untrained + 0.5
+
+
 def test_lm_score_is_the_sum_of_its_words(spark, docs, monkeypatch):
     few = docs.limit(60).cache()
     monkeypatch.setattr(lm, "HEAD", 300)  # so that counts are joined
