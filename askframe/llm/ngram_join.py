@@ -6,8 +6,12 @@
    at most a * (1 - s) / s n-grams, so, dealt by hash into one part more than that, some part is equal in both. Sizes fall
    into bands such that linked sets lie in one band or in neighbours; a class signs every part at its own band's and the
    lower band's number of parts. A map task joins equal signatures itself and sends one of each on, packed: a row a bucket,
-   with 5 bytes a signature and 2 for its class's place in the chunk. Common words and shared passages bring nothing
-   together here: a whole random part of the set must agree.
+   with 5 bytes a signature and 2 for the place in the chunk of the first class that it is joined with. Common words and
+   shared passages bring nothing together here: a whole random part of the set must agree.
+   Similar sets share many signatures, and a task that meets some of them knows nothing of the others. So a sample, some
+   HOME signatures of each class chosen by their hashes, meets first; in the pass over all signatures classes stand under
+   the least class that the sample has connected them with, and tasks send only what that leaves apart. The links sent are
+   thus some HOME a class, however many tasks there are, and not one a class and task.
    So that passages that many texts share don't either, frequent n-grams are counted first, and classes sign with those that
    are rare, and with ever more frequent ones only where the rare ones don't fill more parts than may differ. As both sets
    of a linked pair then sign at the first step at which one of them has parts enough, no link is lost, whatever is counted
@@ -40,6 +44,8 @@ CELL = 1 << 19
 CHUNK, CHUNK_ROWS, BUCKET = 1 << 20, 1 << 16, 64 << 20
 #: Classes to look at that are broadcast; more are joined by a shuffle, for which a Bloom filter spares other texts.
 FEW = 1 << 18
+#: Signatures of a class that meet first, about, and how many classes connected by them are broadcast. Neither alters results.
+HOME, LABELS = 12, 1 << 21
 #: Edges whose components one task finds; more take rounds of joins.
 ONE_TASK = 1 << 17
 #: Occurrences from which an n-gram counts as frequent, steps of eight times as many each, and how many of the most frequent
@@ -140,25 +146,43 @@ def _batch(kind: int, *cols, x: pa.Array | None = None, y: pa.Array | None = Non
 
 
 def _packed(sig: np.ndarray, of: np.ndarray, buckets: int, base: int | None):
-    """Signatures of a chunk as rows of kind 1. of: classes; with base, they are below base plus CHUNK_ROWS, their distance to
-    it is kept, and equal signatures are joined, which rows of kind 2 tell; else classes are kept whole, and base is null."""
+    """Signatures of a chunk as rows of kinds 1 (all) and 3 (those that meet first). Classes with equal signatures are joined,
+    which rows of kind 2 tell, and stand under the least of them. of: classes; with base, they are below base plus CHUNK_ROWS
+    and their distance to it is kept; else they are kept whole, and base is null."""
+    own, _ = pd.factorize(of)
+    part = np.minimum(HOME / np.bincount(own), 1.0)[own]
+    home = (mix64(sig) >> np.uint64(11)).astype(np.float64) < part * 2.0**53
     bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     key = bucket << np.uint64(40) | sig & np.uint64((1 << 40) - 1)
     order = np.lexsort((of, key))
-    key, of = key[order], of[order]
-    if base is not None:
-        new = np.append(True, key[1:] != key[:-1])
-        leader = of[new][np.cumsum(new) - 1]
-        pairs = forest(np.stack([of, leader], 1)[of != leader])
-        if len(pairs):
-            yield _batch(2, pairs[:, 0], pairs[:, 1])
-        key, of = key[new], of[new]
+    key, of, home = key[order], of[order], home[order]
+    new = np.append(True, key[1:] != key[:-1])
+    leader = of[new][np.cumsum(new) - 1]
+    pairs = forest(np.stack([of, leader], 1)[of != leader])
+    if len(pairs):
+        yield _batch(2, pairs[:, 0], pairs[:, 1])
+    home = np.logical_or.reduceat(home, np.flatnonzero(new))
+    key, of = key[new], _labelled(of[new], pairs[:, 0], pairs[:, 1])
+    for kind, k in ((1, slice(None)), (3, home)):
+        if len(key[k]):
+            yield _bucketed(kind, key[k], of[k], base)
+
+
+def _bucketed(kind: int, key: np.ndarray, of: np.ndarray, base: int | None) -> pa.RecordBatch:
     low, high, of = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8), of.astype("<i8") if base is None else (of - base).astype("<u2")
     edge = np.append(np.flatnonzero(np.append(True, key[1:] >> np.uint64(40) != key[:-1] >> np.uint64(40))), len(key))
     own = key[edge[:-1]] >> np.uint64(40)
     x = pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
     y = pa.array([of[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
-    yield _batch(1, own.astype(np.int64), pa.nulls(len(own), pa.int64()) if base is None else np.full(len(own), base), x=x, y=y)
+    return _batch(kind, own.astype(np.int64), pa.nulls(len(own), pa.int64()) if base is None else np.full(len(own), base), x=x, y=y)
+
+
+def _labelled(of: np.ndarray, nodes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """of, with those that are among nodes (ascending) replaced by their labels."""
+    if not len(nodes):
+        return of
+    k = np.minimum(np.searchsorted(nodes, of), len(nodes) - 1)
+    return np.where(nodes[k] == of, labels[k], of)
 
 
 class _Chunk:
@@ -238,8 +262,8 @@ def _tier(gram: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int, frequent: Broadcast) -> DataFrame:
-    """rows: rid, id, text. Rows of three kinds: 0 a row (a: rid, b: its class, c: set size, d: the set's digest, e: id, w:
-    rows of the class in the chunk), 1 signatures (a: bucket, b: first rid of the chunk, x, y), 2 a link to look into (a, b)."""
+    """rows: rid, id, text. Rows of four kinds: 0 a row (a: rid, b: its class, c: set size, d: the set's digest, e: id, w:
+    rows of the class in the chunk), 1 and 3 signatures (a: bucket, b: first rid of the chunk, x, y), 2 a link to look into (a, b)."""
 
     def run(batches):
         chunk = _Chunk(buckets)
@@ -264,7 +288,7 @@ def _sign(rows: DataFrame, n: int, num: int, den: int, buckets: int, frequent: B
 
 
 def _sign_again(sets: DataFrame, n: int, num: int, den: int, buckets: int, frequent: Broadcast, deal: int) -> DataFrame:
-    """Rows of kind 1 of sets (rid, text, block), whose signatures agree within a block alone."""
+    """Rows of kinds 1 to 3 of sets (rid, text, block), whose signatures agree within a block alone."""
 
     def run(batches):
         signatures, classes, held = [], [], 0
@@ -310,8 +334,8 @@ def _links(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _meet(signed: DataFrame, joined: bool = True) -> DataFrame:
-    """a, b: pairs of classes that connect all that share a signature."""
+def _meet(signed: DataFrame, kind: int, labels: Broadcast | None = None) -> DataFrame:
+    """a, b: pairs of classes that connect all that share a signature of that kind, and labels beyond what they connect."""
 
     def run(batches):
         bucket, held, met, size = None, [], [], 0
@@ -324,6 +348,8 @@ def _meet(signed: DataFrame, joined: bool = True) -> DataFrame:
             again = np.append(False, value[1:] == value[:-1])
             again[:-1] |= again[1:]
             value, rid = value[again], rid[order][again]
+            if labels is not None:
+                rid = _labelled(rid, *labels.value)
             if not len(value):
                 return np.zeros((0, 2), np.int64)
             start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
@@ -347,10 +373,19 @@ def _meet(signed: DataFrame, joined: bool = True) -> DataFrame:
         if held:
             yield _links(forest(np.concatenate([*met, finish()])))
 
-    packed = signed.where("kind = 1").select(F.col("a").alias("bucket"), "b", "x", "y")
+    packed = signed.where(F.col("kind") == kind).select(F.col("a").alias("bucket"), "b", "x", "y")
     dealt = packed.repartition(shuffle_width(signed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(run, "a long, b long")
-    return met.union(signed.where("kind = 2").select("a", "b")) if joined else met
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _blocks(signed: DataFrame) -> DataFrame:
+    """rid, block (the least rid of it) of all classes that signatures connect with others."""
+    near = cut(components(_meet(signed, 3).union(signed.where("kind = 2").select("a", "b"))))
+    known = near.where("node != root").limit(LABELS).toPandas().sort_values("node")
+    labels = signed.sparkSession.sparkContext.broadcast((known["node"].to_numpy(np.int64), known["root"].to_numpy(np.int64)))
+    found = cut(components(_meet(signed, 1, labels).union(near)))
+    labels.unpersist()
+    return found.select(F.col("node").alias("rid"), F.col("root").alias("block"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -548,11 +583,12 @@ def _found(rows: DataFrame, n: int, num: int, den: int, count: bool) -> DataFram
     signed = kept(_sign(rows, n, num, den, buckets, frequent))
     classes = signed.where("kind = 0").select(F.col("a").alias("rid"), F.col("e").alias("id"), F.col("b").alias("rep"), F.col("c").alias("size"), F.col("d").alias("digest"), F.col("w").alias("weight"))
     classes = kept(classes)
-    blocks = cut(components(_meet(signed))).select(F.col("node").alias("rid"), F.col("root").alias("block"))
+    blocks = _blocks(signed)
     discard(signed)
     for deal in range(1, AGAIN + 1):
-        signed = _sign_again(_with_texts(rows, blocks), n, num, den, buckets, frequent, deal)
-        blocks = cut(components(_meet(signed, False))).select(F.col("node").alias("rid"), F.col("root").alias("block"))
+        signed = kept(_sign_again(_with_texts(rows, blocks), n, num, den, buckets, frequent, deal))
+        blocks = _blocks(signed)
+        discard(signed)
     reps = classes.where("rid = rep").select("rid", "size", "digest", "weight")
     sized = cut(blocks.join(reps, "rid"))
     cells = sized.groupBy("block").agg(F.ceil(F.sum("size") / CELL).alias("cells"))

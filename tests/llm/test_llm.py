@@ -262,6 +262,27 @@ def test_shared_passages_bring_no_texts_together(spark, monkeypatch):
     assert "grams" not in tables
 
 
+def test_links_to_look_into_do_not_grow_with_tasks(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    texts = {k: " ".join(f"v{r.randint(0, 10**6)}" if r.random() < 0.01 else w for w in base) for k in range(150)}
+    texts |= {150 + k: " ".join(f"u{k // 2}x{j}" for j in range(300 + k % 2)) for k in range(200)}
+    made, meet = {}, ngram_join._meet
+
+    def counted(*settings):
+        out = meet(*settings)
+        made[width] = made.get(width, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "_meet", counted)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(16)
+    want = ngram_join.links_by_brute_force(texts, 5, 8, 10)
+    for width in (8, 96):
+        monkeypatch.setattr(ngram_join, "shuffle_width", lambda spark, n=width: n)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in ngram_join.join(rows, links=True).collect()} == want
+    assert made[96] < 4 * made[8] and made[96] < 3 * 12 * len(texts), made  # before: one a text and task
+
+
 def test_rows_without_or_with_repeated_ids_link(spark):
     r = random.Random(8)
     base = [f"w{k}" for k in range(200)]
